@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,3 +38,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
         chosen = some if chosen is None else chosen.unionByName(some)
     texts = docs.select("doc_id", "text").where(F.octet_length("text") <= max_bytes)
     return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+
+
+def fit_in_task(sample: DataFrame, fit: Callable[[pa.Table], dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    """Runs ``fit`` on the rows of a bounded sample, ordered by doc_id, in one task, and brings the fitted arrays back.
+    A lost executor only means that another one fits again; the same sample gives the same arrays."""
+    schema = sample.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = list(batches)
+        if got:
+            out = io.BytesIO()
+            np.savez(out, **fit(pa.Table.from_batches(got).sort_by("doc_id")))
+            yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], names=["fitted"])
+
+    rows = sample.repartition(1).mapInArrow(run, "fitted binary").collect()
+    if not rows:  # no labelled document
+        return fit(pa.table({f.name: pa.array([], pa.int32() if f.name == "y" else pa.string() if f.name == "text" else pa.int64()) for f in schema.fields}))
+    with np.load(io.BytesIO(rows[0]["fitted"])) as arrays:
+        return {k: arrays[k] for k in arrays.files}

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import batch_of, ids_of, map_steps, narrow, texts_of
-from tidemark.llm.sampling import held_out, labelled_sample
+from tidemark.llm.sampling import fit_in_task, held_out, labelled_sample
 from tidemark.llm.textblock import ALNUM, TextBlock, group_ids
 
 FOLDS, KEPT_BACK = 5, 0
@@ -45,8 +45,8 @@ class Words:
     first: np.ndarray  # where each word's grams begin; one more at the end
 
 
-def read_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, Words]:
-    """Of each word its text's number and its number among the distinct words."""
+def read_words(texts: pa.Array, with_hashes: bool = False) -> tuple:
+    """Of each word its text's number and its number among the distinct words; the distinct words, and their hashes if asked for."""
     block = TextBlock(texts, lower=True)
     starts, ends, doc = block.spans(ALNUM)
     hashes = block.hashes(starts, ends)
@@ -73,7 +73,33 @@ def read_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, Words]:
     order = np.argsort(owner_all, kind="stable")
     grams = (np.concatenate(parts)[order] % np.uint64(CHAR_ROWS)).astype(np.int32)
     first = np.searchsorted(owner_all[order], np.arange(len(size) + 1))
-    return doc, codes, Words((distinct % np.uint64(WORD_ROWS)).astype(np.int32), grams, first)
+    words = Words((distinct % np.uint64(WORD_ROWS)).astype(np.int32), grams, first)
+    return (doc, codes, words, distinct) if with_hashes else (doc, codes, words)
+
+
+def read_sample(texts: list[str | None], chunk_bytes: int = 1_000_000) -> tuple[np.ndarray, np.ndarray, Words]:
+    """As ``read_words`` for a sample of many texts, read a few at a time so that memory follows the words alone."""
+    docs, codes, hashes, parts, seen, start = [], [], [], [], 0, 0
+    while start < len(texts):
+        end, size = start, 0
+        while end < len(texts) and (end == start or size + len(texts[end] or "") <= chunk_bytes):
+            size += len(texts[end] or "")
+            end += 1
+        doc, code, words, distinct = read_words(pa.array(texts[start:end], pa.string()), with_hashes=True)
+        docs.append((doc + start).astype(np.int32))
+        codes.append((code + seen).astype(np.int32))
+        hashes.append(distinct)
+        parts.append(words)
+        seen, start = seen + len(distinct), end
+    numbers, distinct = group_ids(np.concatenate(hashes))
+    first = np.zeros(len(distinct), np.int64)
+    first[numbers[::-1]] = np.arange(len(numbers))[::-1]
+    size = np.concatenate([np.diff(w.first) for w in parts])
+    begin = np.cumsum(size) - size
+    take = size[first]
+    at = np.repeat(begin[first] - np.cumsum(take) + take, take) + np.arange(take.sum())
+    words = Words(np.concatenate([w.row for w in parts])[first], np.concatenate([w.grams for w in parts])[at], np.append(np.cumsum(take) - take, take.sum()))
+    return np.concatenate(docs), numbers[np.concatenate(codes)].astype(np.int32), words
 
 
 def cut_windows(n_words: np.ndarray, window: int = WINDOW, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -110,7 +136,11 @@ class BiGru:
             size = first[some + 1] - first[some]
             at = np.repeat(first[some] - np.cumsum(size) + size, size) + np.arange(size.sum())
             row, grams, first = row[some], grams[at], np.append(np.cumsum(size) - size, size.sum())
-        char = np.add.reduceat(self.w["char"][grams], first[:-1], axis=0) / np.sqrt(size)[:, None].astype(np.float32) if len(row) else np.zeros((0, CHAR_DIM), np.float32)
+        char = np.zeros((len(row), CHAR_DIM), np.float32)
+        for k in range(0, len(row), 20_000):
+            edges = first[k : k + 20_001]
+            char[k : k + 20_000] = np.add.reduceat(self.w["char"][grams[edges[0] : edges[-1]]], edges[:-1] - edges[0], axis=0)
+        char /= np.sqrt(size)[:, None].astype(np.float32)
         return np.concatenate([self.w["word"][row], char], axis=1), (row, grams, size)
 
     def _layer(self, side: str, x: np.ndarray, index: np.ndarray, mask: np.ndarray | None, keep: bool) -> tuple[np.ndarray, list]:
@@ -247,14 +277,28 @@ def fit_line(logit: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return (float(w[0]), float(w[1])) if w[0] > 0 else (1.0, 0.0)
 
 
-def shrunk_odds(doc: np.ndarray, row: np.ndarray, rows: int, y: np.ndarray, totals: tuple[float, float]) -> np.ndarray:
-    """Log odds of label 1 by row of a table, from the documents that hold the row; drawn to 0 where few do."""
-    pair = np.unique(doc.astype(np.int64) * rows + row)
-    of, row = pair // rows, pair % rows
-    alls = np.bincount(row, minlength=rows)
-    ones = np.bincount(row, weights=y[of], minlength=rows)
-    odds = np.log((ones + 0.5) / (totals[0] + 1)) - np.log((alls - ones + 0.5) / (totals[1] + 1))
-    return (odds * alls / (alls + 4)).astype(np.float32)
+def first_odds(doc: np.ndarray, codes: np.ndarray, words: Words, y: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log odds of label 1 by row of the word and of the character table, from the documents that ``use`` marks and
+    that hold the row; drawn to 0 where few do."""
+    size_of, counts = np.diff(words.first), [np.zeros((2, WORD_ROWS)), np.zeros((2, CHAR_ROWS))]
+    edges = np.searchsorted(doc, np.arange(0, len(y) + 200, 200))  # a few documents at a time
+    for a, b in zip(edges, edges[1:], strict=False):
+        some = slice(a, b)
+        pair = np.unique((doc[some].astype(np.int64) << 32) | codes[some])
+        of, word = pair >> 32, pair & 0xFFFFFFFF
+        of, word = of[use[of]], word[use[of]]
+        n = size_of[word]
+        grams = words.grams[np.repeat(words.first[word] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        for count, d, row in zip(counts, (of, np.repeat(of, n)), (words.row[word], grams), strict=True):
+            pair = np.unique((d << 32) | row)
+            d, row = pair >> 32, pair & 0xFFFFFFFF
+            count[0] += np.bincount(row, weights=y[d], minlength=count.shape[1])
+            count[1] += np.bincount(row, minlength=count.shape[1])
+    out, total = [], (float(y[use].sum()) + 1, float((1 - y)[use].sum()) + 1)
+    for ones, alls in counts:
+        odds = np.log((ones + 0.5) / total[0]) - np.log((alls - ones + 0.5) / total[1])
+        out.append((odds * alls / (alls + 4)).astype(np.float32))
+    return out[0], out[1]
 
 
 def train(texts: list[str | None], y: np.ndarray, rounds: int = ROUNDS, seed: int = SEED) -> BiGru:
@@ -263,7 +307,9 @@ def train(texts: list[str | None], y: np.ndarray, rounds: int = ROUNDS, seed: in
     y = np.asarray(y, np.float32)
     if len(set(y.tolist())) < 2:
         return net
-    word_doc, codes, words = read_words(pa.array(texts, pa.string()))
+    word_doc, codes, words = read_sample(texts)
+    if not len(codes):
+        return net
     doc, begin, size = cut_windows(np.bincount(word_doc, minlength=len(texts)))
     calibrating = np.zeros(len(texts), bool)
     for k in (0, 1):
@@ -271,19 +317,10 @@ def train(texts: list[str | None], y: np.ndarray, rounds: int = ROUNDS, seed: in
         calibrating[mine[: len(mine) // 5]] = True
     fitting = ~calibrating[doc]
     # Counts by document give each word and gram a first value, and the first rounds the windows to look at.
-    n = len(words.row)
-    pair = np.unique(word_doc.astype(np.int64) * n + codes)
-    of, word = pair // n, pair % n
-    use = ~calibrating[of]
-    of, word = of[use], word[use]
-    totals = float(y[~calibrating].sum()), float((1 - y)[~calibrating].sum())
-    word_odds = shrunk_odds(of, words.row[word], WORD_ROWS, y, totals)
-    size_of = np.diff(words.first)
-    grams = words.grams[np.repeat(words.first[word] - np.cumsum(size_of[word]) + size_of[word], size_of[word]) + np.arange(size_of[word].sum())]
-    char_odds = shrunk_odds(np.repeat(of, size_of[word]), grams, CHAR_ROWS, y, totals)
+    word_odds, char_odds = first_odds(word_doc, codes, words, y, ~calibrating)
     net.w["word"][:, 0], net.w["char"][:, 0] = word_odds, char_odds
-    odds = word_odds[words.row] + np.add.reduceat(char_odds[words.grams], words.first[:-1]) / size_of
-    guess = np.append(odds, -9)[window_index(codes, begin, size, n)[0]].max(axis=1)
+    odds = np.append(word_odds[words.row] + np.add.reduceat(char_odds[words.grams], words.first[:-1]) / np.diff(words.first), -9)
+    guess = np.concatenate([odds[window_index(codes, begin[k : k + 8192], size[k : k + 8192], len(odds) - 1)[0]].max(axis=1) for k in range(0, len(begin), 8192)])
     adam = _Adam({k: v for k, v in net.w.items() if k not in ("scale", "shift")}, RATE)
     weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6)).astype(np.float32)
     for number in range(rounds):
@@ -326,8 +363,8 @@ def score_texts(net: BiGru, texts: pa.Array) -> np.ndarray:
 
 def train_on(docs: DataFrame, labels: DataFrame, sample: dict[int, int] | None = None) -> BiGru:
     """Fits on a bounded sample of the labelled documents outside the fold that is kept back."""
-    rows = labelled_sample(docs, labels, "toxic", FOLDS, KEPT_BACK, sample or SAMPLE).toPandas().sort_values("doc_id")
-    return train(rows["text"].tolist(), rows["y"].to_numpy())
+    rows = labelled_sample(docs, labels, "toxic", FOLDS, KEPT_BACK, sample or SAMPLE)
+    return BiGru(fit_in_task(rows, lambda table: train(table["text"].to_pylist(), table["y"].to_numpy()).w))
 
 
 def score(docs: DataFrame, net: BiGru) -> DataFrame:
