@@ -203,7 +203,8 @@ def remove_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     which over ``max_coverage`` of the words are hit go whole. ``n_chars``, where there is one, follows the text."""
     spark = docs.sparkSession
     shards = [spark.sparkContext.broadcast(a) for a in automata(benchmark, window)]
-    place = docs.columns.index("text")
+    names = docs.columns
+    place = names.index("text")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, hit = batch.column(place), None
@@ -222,11 +223,11 @@ def remove_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                 at = int(ends[run[-1]]) - base
             out[d] = b"".join([*parts, raw[at:]]).decode()
         columns = [pa.array(out, pa.string()) if i == place else c for i, c in enumerate(batch.columns)]
-        if "n_chars" in docs.columns:
-            k = docs.columns.index("n_chars")
+        if "n_chars" in names:
+            k = names.index("n_chars")
             lengths = pa.array([None if t is None else len(t) for t in out], pa.int64()).cast(columns[k].type)
             columns[k] = pc.if_else(pa.array(covered > 0), lengths, columns[k])
-        kept = pa.RecordBatch.from_arrays(columns, names=docs.columns)
+        kept = pa.RecordBatch.from_arrays(columns, names=names)
         return kept.filter(pa.array(covered <= max_coverage * words))
 
     return map_steps(docs, work, docs.schema)

@@ -290,12 +290,13 @@ def redact(docs: DataFrame, net: CharCnn) -> DataFrame:
     """``docs`` with every finding's text replaced by ``[SECRET]``; overlapping findings become one. ``n_chars``,
     where there is one, follows the text. Texts without a finding, null ones too, stay as they are."""
     weights = docs.sparkSession.sparkContext.broadcast(net.w)
-    place = docs.columns.index("text")
+    names = docs.columns
+    place = names.index("text")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, model = batch.column(place), CharCnn(weights.value)
         out, columns = texts.to_pylist(), list(batch.columns)
-        sizes = columns[docs.columns.index("n_chars")].to_pylist() if "n_chars" in docs.columns else None
+        sizes = columns[names.index("n_chars")].to_pylist() if "n_chars" in names else None
         for k in np.flatnonzero(flagged(texts)).tolist():
             spans = scan_text(out[k], model)[1]
             if not spans:
@@ -310,9 +311,9 @@ def redact(docs: DataFrame, net: CharCnn) -> DataFrame:
                 sizes[k] = len(out[k])
         columns[place] = pa.array(out, pa.string())
         if sizes:
-            at = docs.columns.index("n_chars")
+            at = names.index("n_chars")
             columns[at] = pa.array(sizes, columns[at].type)
-        return pa.RecordBatch.from_arrays(columns, names=docs.columns)
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
     return map_steps(docs, work, docs.schema)
 
