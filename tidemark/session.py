@@ -8,6 +8,7 @@ import time
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
+from decimal import Decimal
 from typing import Any
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -365,7 +366,10 @@ class Session:
         schema = entity.schema()
         for f in schema.fields:
             f.nullable = True
-        return self.spark.createDataFrame([tuple(r.get(n) for n in names) if isinstance(r, dict) else tuple(r) for r in rows], schema)
+        fit = {"decimal": lambda v: Decimal(str(v)), "double": float, "float": float}
+        change = [fit.get(f.dataType.typeName()) for f in schema.fields]
+        given = [[r.get(n) for n in names] if isinstance(r, dict) else list(r) for r in rows]
+        return self.spark.createDataFrame([tuple(v if v is None or f is None else f(v) for v, f in zip(r, change, strict=True)) for r in given], schema)
 
     def insert(self, entity: Entity, rows: DataFrame | Iterable) -> int:
         """Appends rows; identities count on from the last one. The number of rows."""
