@@ -23,8 +23,8 @@ SEQUENCE = 1024
 END_ID = 2
 #: Pieces in one packing group. The room lost by packing groups apart is at most about a sequence a group.
 GROUP_PIECES = 60_000
-#: Sequences of a group that a draining sequence is tried against, fullest first, in each round of the search.
-ROUNDS = 4
+#: Pairs of sequences that the search tries in a group before it lets its packing stand.
+TRIES = 100_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
@@ -138,30 +138,35 @@ class _Search:
         self._put(s, take, give)
         return True
 
-    def run(self, rounds: int = ROUNDS) -> list[list[int]]:
-        for _ in range(rounds):
-            order = sorted((k for k in range(len(self.bins)) if 0 < self.fill[k] < self.room), key=self.fill.__getitem__)
-            spare = sum(self.room - self.fill[k] for k in order)
-            if not order or spare < self.room:  # no packing has a bin less
-                break
+    def _alike(self, k: int) -> tuple[int, ...]:
+        return tuple(sorted(self.length[i] for i in self.bins[k]))
+
+    def run(self, tries: int = TRIES) -> list[list[int]]:
+        """Rounds over pairs of underfull bins, the emptiest giving and the fullest taking first, until none helps."""
+        failed: set[tuple] = set()  # pairs of bins' lengths between which there is no step
+        changed = True
+        while changed and tries > 0:
             changed = False
-            low, high = 0, len(order) - 1
-            while low < high:
-                s, t = order[low], order[high]
-                while self.fill[s] and self._step(s, t):
-                    changed = True
-                if not self.fill[s]:
-                    low += 1
-                else:
-                    high -= 1
-            if not changed:
+            order = sorted((k for k in range(len(self.bins)) if 0 < self.fill[k] < self.room), key=self.fill.__getitem__)
+            if sum(self.room - self.fill[k] for k in order) < self.room:  # no packing has a bin less
                 break
+            for at, s in enumerate(order):
+                for t in reversed(order[at + 1 :]):
+                    if not self.fill[s] or tries <= 0:
+                        break
+                    if self.fill[t] == self.room or (pair := (self._alike(s), self._alike(t))) in failed:
+                        continue
+                    tries -= 1
+                    if self._step(s, t):
+                        changed = True
+                    else:
+                        failed.add(pair)
         return [b for b in self.bins if b]
 
 
-def pack_lengths(lengths: np.ndarray, room: int = SEQUENCE, rounds: int = ROUNDS) -> list[list[int]]:
+def pack_lengths(lengths: np.ndarray, room: int = SEQUENCE, tries: int = TRIES) -> list[list[int]]:
     """Bins as lists of item numbers: best-fit decreasing, then the local search. Every item is in one bin."""
-    return _Search(lengths, best_fit_decreasing(lengths, room), room).run(rounds)
+    return _Search(lengths, best_fit_decreasing(lengths, room), room).run(tries)
 
 
 def pack_pieces(pieces: DataFrame, sequence: int = SEQUENCE, group_pieces: int = GROUP_PIECES) -> DataFrame:
