@@ -111,7 +111,8 @@ def test_session_gate_and_options(spark, sf, monkeypatch):
 
 def test_timeout(spark, sf):
     s = t.open_tables(spark, sf)
-    slow = s.query(t.LINEITEM).inner_join(t.EVENTS, "events.value + lineitem.l_quantity > {}", 0).where("sha2(repeat(events.props, 2000), 256) <> {}", "x")
+    heavy = "length(concat_ws(',', transform(sequence(1, 300000), i -> sha2(cast(i + lineitem.l_orderkey AS string), 256))))"
+    slow = s.query(t.LINEITEM).where(f"{heavy} > {{}}", 0)
     with pytest.raises(TimeoutError):
         slow.timeout(2.0).to_list()
 
