@@ -69,6 +69,12 @@ def revisions(before: DataFrame, after: DataFrame) -> DataFrame:
     return deletes(before).unionByName(inserts(after))
 
 
+def _checked(name: str) -> str:
+    if not re.fullmatch(r"[A-Za-z0-9_.-]+", name):
+        raise ValueError(f"not a batch name: {name!r}")
+    return name
+
+
 class Rollup:
     """Totals by source, language and tokenizer version in a folder that driver and executors share.
 
@@ -102,15 +108,15 @@ class Rollup:
     def commit(self, name: str, changes: DataFrame) -> bool:
         """Adds up signed ``changes`` (KEYS, tokens, sign) and commits them as batch ``name``. False: it was committed before.
 
-        Null keys are keys of their own; an empty batch commits and changes nothing.
+        Null keys are keys of their own; an empty batch commits and changes nothing. A name of other than letters,
+        digits and ``_.-`` is a ValueError.
         """
+        _checked(name)
         return self.commit_sums(name, changes.select(*KEYS, F.col("sign").cast("long").alias("documents"), (F.col("sign") * F.col("tokens")).alias("tokens")))
 
     def commit_sums(self, name: str, changes: DataFrame) -> bool:
         """As ``commit``, for changes that are signed sums already: (KEYS, documents, tokens)."""
-        if not re.fullmatch(r"[A-Za-z0-9_.-]+", name):
-            raise ValueError(f"not a batch name: {name!r}")
-        if name in self.covered():
+        if _checked(name) in self.covered():
             return False
         added = changes.groupBy(*KEYS).agg(*[F.sum(F.col(c).cast("long")).alias(c) for c in TOTALS])
         added.write.mode("overwrite").parquet(f"{self.root}/batch={name}")
