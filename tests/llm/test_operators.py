@@ -277,7 +277,7 @@ def test_license_lines(spark, sf, documents):
 
 def operators(spark):
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (2, 0, 1), (None, 1, 1), (3, None, None), (7, 0, 1), (9, 1, 0)], "doc_id long, quality int, toxic int")
-    bench = spark.createDataFrame([(1, "alpha beta gamma delta alpha beta gamma delta alpha beta gamma"), (2, None), (None, "quote")], "item_id long, text string")
+    bench = spark.createDataFrame([(1, "alpha beta gamma delta alpha beta gamma delta alpha beta gamma"), (2, None), (None, "’Quote’")], "item_id long, text string")
     net = secret_scan.train(["token = 0123456789abcdef01234567"])
     return {
         "1": lambda d: quality.digest(d, labels),
