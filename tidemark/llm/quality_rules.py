@@ -1,6 +1,8 @@
 """5. Quality rules: counts of a text's own repetition, and bands of n-gram perplexity by language.
 
-A document's perplexity is that of its characters under the Kneser-Ney model of its language. Bands are set around
+A document's perplexity is that of its characters under the Kneser-Ney model of its language, counted over the other
+half of the corpus: texts are dealt into two halves by a hash of the text, so that neither a document nor an exact copy
+of it vouches for itself. Every document teaches one half and is scored by the other. Bands are set around
 the median of documents of one language and of like length; texts beyond either edge are rejected.
 """
 
@@ -65,29 +67,41 @@ def count(docs: DataFrame) -> DataFrame:
     return map_steps(docs.select("doc_id", "text", "lang"), work, "doc_id long, lang string, " + ", ".join(f"{k} long" for k in COUNTS))
 
 
+def in_halves(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``copy``, a hash of the text, ``half``, and ``judge``, the name of the model that scores the row."""
+    docs = docs.withColumn("copy", F.xxhash64("text")).withColumn("half", F.pmod(F.col("copy"), F.lit(2)))
+    return docs.withColumn("judge", F.concat((1 - F.col("half")).cast("string"), F.col("lang")))
+
+
+def fit(halves: DataFrame) -> DataFrame:
+    """A model of each language in each half, named by the half and the language."""
+    return kn.fit(halves.select("text", F.concat(F.col("half").cast("string"), F.col("lang")).alias("lang")))
+
+
 def perplexity(docs: DataFrame, model: DataFrame, part_entries: int = kn.PART_ENTRIES) -> DataFrame:
-    """Rows (doc_id, lang, base counts, n_chars, nats): ``nats`` is the negative log share a character; null where a
-    text has no character. A stored model in several parts reads the texts once for each part."""
-    context, numbered = docs.sparkSession.sparkContext, docs.select("doc_id", "text", "lang", F.monotonically_increasing_id().alias("_row"))
-    schema = "_row long, doc_id long, lang string, " + ", ".join(f"{k} long" for k in COUNTS) + ", n_chars long, loss double"
+    """Rows (doc_id, lang, copy, base counts, n_chars, nats): ``nats`` is the negative log share a character under the
+    model that ``judge`` names; null where a text has no character. A stored model in several parts reads the texts once
+    for each part."""
+    context, numbered = docs.sparkSession.sparkContext, docs.select("doc_id", "text", "lang", "copy", "judge", F.monotonically_increasing_id().alias("_row"))
+    schema = "_row long, doc_id long, lang string, copy long, " + ", ".join(f"{k} long" for k in COUNTS) + ", n_chars long, loss double"
     found = None
     for arrays, part, parts in kn.model_parts(model, part_entries):
         shared = context.broadcast(arrays)
 
         def work(batch: pa.RecordBatch, shared=shared, part=part, parts=parts) -> pa.RecordBatch:
-            texts, langs = texts_of(batch), texts_of(batch, "lang")
+            texts, judges = texts_of(batch), texts_of(batch, "judge")
             counts = base_counts(texts) if part == 0 else {k: np.zeros(batch.num_rows, np.int64) for k in COUNTS}
             padded, place, doc = kn.coded(texts)
-            share = kn.log_shares(shared.value, padded, place, kn.lang_hashes(langs)[doc], part=(part, parts))
+            share = kn.log_shares(shared.value, padded, place, kn.lang_hashes(judges)[doc], part=(part, parts))
             return batch_of(
-                _row=texts_of(batch, "_row"), doc_id=ids_of(batch), lang=langs, **{k: pa.array(counts[k], pa.int64()) for k in COUNTS},
+                _row=texts_of(batch, "_row"), doc_id=ids_of(batch), lang=texts_of(batch, "lang"), copy=texts_of(batch, "copy"), **{k: pa.array(counts[k], pa.int64()) for k in COUNTS},
                 n_chars=pa.array(np.bincount(doc, minlength=batch.num_rows), pa.int64()), loss=pa.array(-np.bincount(doc, weights=share, minlength=batch.num_rows)),
             )
 
         some = map_steps(numbered, work, schema)
         found = some if found is None else found.unionByName(some)
     if parts > 1:
-        found = found.groupBy("_row").agg(*[F.max(c).alias(c) for c in ("doc_id", "lang", *COUNTS, "n_chars")], F.sum("loss").alias("loss"))
+        found = found.groupBy("_row").agg(*[F.max(c).alias(c) for c in ("doc_id", "lang", "copy", *COUNTS, "n_chars")], F.sum("loss").alias("loss"))
     return found.withColumn("nats", F.col("loss") / F.nullif(F.col("n_chars"), F.lit(0))).drop("_row", "loss")
 
 
@@ -105,8 +119,8 @@ def apply_rules(docs: DataFrame, width: float = WIDTH) -> DataFrame:
     ``low`` and ``high`` are the band's edges as perplexities. Null and empty texts fail the base rules. A null
     language is a language of its own. An empty table gives no rows; further columns are ignored.
     """
-    docs = docs.select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang"))
-    scored = perplexity(docs, kn.fit(docs)).withColumn("size", F.floor(F.log2(F.greatest("n_chars", F.lit(1)))).cast("int"))
+    docs = in_halves(docs.select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang")))
+    scored = perplexity(docs, fit(docs)).withColumn("size", F.floor(F.log2(F.greatest("n_chars", F.lit(1)))).cast("int"))
     scored = stored(scored, "perplexity")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     judged = scored.join(bands(scored, width), ["lang", "size"], "left").withColumn("base_failed", failed)
