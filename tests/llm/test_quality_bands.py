@@ -26,3 +26,10 @@ def test_junk_is_scored_by_a_model_without_it(judged):
     planted = {k: r for k, r in judged.items() if k >= 10**6}
     assert len(planted) == len(LENGTHS) * (1 + COPIES) + 2
     assert all(math.log(r["perplexity"]) > 3 for r in planted.values())
+
+
+def test_junk_is_rejected_whatever_its_class(judged):
+    """Alone in its language or length, or most of its class by copies: none is kept, and the good texts stay."""
+    assert not any(r["kept"] for k, r in judged.items() if k >= 10**6)
+    good = [r for k, r in judged.items() if k < 10**6 and not r["base_failed"]]
+    assert sum(r["kept"] for r in good) > 0.85 * len(good)

@@ -120,7 +120,12 @@ def fit(docs: DataFrame, order: int = ORDER) -> DataFrame:
     Kind n in 1 to ``order``: the discounted share of an n-gram under its context. Kind -n: the weight that the context
     of an n-gram hands down to order n - 1. Kind 0: the share of each character that no n-gram knows.
     """
-    counts, parts = stored(count_grams(docs, order), "grams"), []
+    return fit_counts(count_grams(docs, order), order)
+
+
+def fit_counts(counts: DataFrame, order: int = ORDER) -> DataFrame:
+    """The model of these rows (lang, gram, c)."""
+    counts, parts = stored(counts, "grams"), []
     for n in range(order, 0, -1):
         taken = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
         cut_down = counts.join(_discounts(counts), "lang").withColumn("taken", taken).withColumn("context", F.substring("gram", 1, n - 1))

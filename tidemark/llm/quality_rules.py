@@ -3,7 +3,8 @@
 A document's perplexity is that of its characters under the Kneser-Ney model of its language, counted over the other
 half of the corpus: texts are dealt into two halves by a hash of the text, so that neither a document nor an exact copy
 of it vouches for itself. Every document teaches one half and is scored by the other. Bands are set around
-the median of documents of one language and of like length; texts beyond either edge are rejected.
+the median of a language's distinct texts, whatever their length; texts beyond either edge are rejected. A language of
+few texts has neither a model nor a band of its own: those of the whole corpus stand in.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import kneser_ney as kn
-from tidemark.llm.common import batch_of, ids_of, map_steps, stored, texts_of
+from tidemark.llm.common import batch_of, cut, ids_of, map_steps, stored, texts_of
 from tidemark.llm.textblock import NOT_SPACE, TextBlock, by_doc, group_ids, mix, windows
 
 LEAST_WORDS, MOST_REPEATED = 20, 30  # words; percent of words in repeated windows
@@ -23,6 +24,8 @@ REPEAT_WINDOW = 8
 WIDTH = 4.0
 #: A band is never narrower than this many nats a character on either side.
 LEAST_WIDTH = 0.1
+#: Distinct texts that a language needs for a model and a band of its own.
+LEAST_TEXTS = 20
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 NOT_NEWLINE = np.ones(256, bool)
@@ -68,14 +71,35 @@ def count(docs: DataFrame) -> DataFrame:
 
 
 def in_halves(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``copy``, a hash of the text, ``half``, and ``judge``, the name of the model that scores the row."""
-    docs = docs.withColumn("copy", F.xxhash64("text")).withColumn("half", F.pmod(F.col("copy"), F.lit(2)))
-    return docs.withColumn("judge", F.concat((1 - F.col("half")).cast("string"), F.col("lang")))
+    """``docs`` with ``copy``, a hash of the text, and ``half``."""
+    return docs.withColumn("copy", F.xxhash64("text")).withColumn("half", F.pmod(F.col("copy"), F.lit(2)))
 
 
-def fit(halves: DataFrame) -> DataFrame:
-    """A model of each language in each half, named by the half and the language."""
-    return kn.fit(halves.select("text", F.concat(F.col("half").cast("string"), F.col("lang")).alias("lang")))
+def rare_languages(halves: DataFrame, least: int = LEAST_TEXTS) -> DataFrame:
+    """Rows (lang) of the languages with fewer than ``least`` distinct texts."""
+    found = halves.where(F.octet_length("text") > 0).groupBy("lang").agg(F.count_distinct("copy").alias("n"))
+    return cut(found.where(F.col("n") < least).select("lang"))
+
+
+def fit(halves: DataFrame, pooled: bool) -> DataFrame:
+    """A model of each language in each half, named 0 or 1 and the language; if ``pooled``, also of all languages in
+    each half, named 2 or 3."""
+    counts = kn.count_grams(halves.select("text", F.concat(F.col("half").cast("string"), F.col("lang")).alias("lang")))
+    if pooled:
+        counts = stored(counts, "grams")
+        name = (F.substring("lang", 1, 1).cast("int") + 2).cast("string").alias("lang")
+        counts = counts.unionByName(counts.groupBy(name, "gram").agg(F.sum("c").alias("c")))
+    return kn.fit_counts(counts)
+
+
+def judged_by(halves: DataFrame, rare: DataFrame | None) -> DataFrame:
+    """``halves`` with ``judge``, the name of the model that scores the row: the other half's."""
+    other = 1 - F.col("half")
+    own = F.concat(other.cast("string"), F.col("lang"))
+    if rare is None:
+        return halves.withColumn("judge", own)
+    marked = halves.join(F.broadcast(rare.withColumn("is_rare", F.lit(True))), "lang", "left")
+    return marked.withColumn("judge", F.when(F.col("is_rare"), (other + 2).cast("string")).otherwise(own))
 
 
 def perplexity(docs: DataFrame, model: DataFrame, part_entries: int = kn.PART_ENTRIES) -> DataFrame:
@@ -105,25 +129,31 @@ def perplexity(docs: DataFrame, model: DataFrame, part_entries: int = kn.PART_EN
     return found.withColumn("nats", F.col("loss") / F.nullif(F.col("n_chars"), F.lit(0))).drop("_row", "loss")
 
 
-def bands(scored: DataFrame, width: float = WIDTH) -> DataFrame:
-    """Rows (lang, size, low, high): by language and length class, the edges of the band in nats a character."""
-    q = F.percentile_approx("nats", [0.25, 0.5, 0.75], 10_000)
-    found = scored.where(F.col("nats").isNotNull()).groupBy("lang", "size").agg(q.alias("q"))
+def bands(scored: DataFrame, width: float = WIDTH, least: int = LEAST_TEXTS) -> tuple[DataFrame, DataFrame]:
+    """Rows (lang, low, high), the edges of the band in nats a character by language, of those with ``least`` distinct
+    texts; and one row (low, high) of the whole corpus. Copies of a text weigh as one."""
+    q = F.percentile_approx("nats", [0.25, 0.5, 0.75], 10_000).alias("q")
+    once = scored.where(F.col("nats").isNotNull()).groupBy("lang", "copy").agg(F.first("nats").alias("nats"))
     side = lambda a, b: F.greatest(F.lit(width / 0.6745) * (F.col("q")[b] - F.col("q")[a]), F.lit(LEAST_WIDTH))
-    return found.select("lang", "size", (F.col("q")[1] - side(0, 1)).alias("low"), (F.col("q")[1] + side(1, 2)).alias("high"))
+    low, high = (F.col("q")[1] - side(0, 1)).alias("low"), (F.col("q")[1] + side(1, 2)).alias("high")
+    by_language = once.groupBy("lang").agg(q, F.count("*").alias("n")).where(F.col("n") >= least)
+    return by_language.select("lang", low, high), once.agg(q).select(low, high)
 
 
 def apply_rules(docs: DataFrame, width: float = WIDTH) -> DataFrame:
     """The operator: rows (doc_id, base counts, base_failed, perplexity, low, high, kept), one for each row of ``docs``.
 
     ``low`` and ``high`` are the band's edges as perplexities. Null and empty texts fail the base rules. A null
-    language is a language of its own. An empty table gives no rows; further columns are ignored.
+    language is a language of its own. A corpus of fewer distinct texts than a language needs has only those to set a band by. An empty table gives no rows; further columns are ignored.
     """
     docs = in_halves(docs.select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang")))
-    scored = perplexity(docs, fit(docs)).withColumn("size", F.floor(F.log2(F.greatest("n_chars", F.lit(1)))).cast("int"))
-    scored = stored(scored, "perplexity")
+    rare = rare_languages(docs)
+    pooled = not rare.isEmpty()
+    scored = stored(perplexity(judged_by(docs, rare if pooled else None), fit(docs, pooled)), "perplexity")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    judged = scored.join(bands(scored, width), ["lang", "size"], "left").withColumn("base_failed", failed)
+    own, whole = bands(scored, width)
+    judged = scored.join(F.broadcast(own), "lang", "left").crossJoin(F.broadcast(whole.select(F.col("low").alias("least"), F.col("high").alias("most"))))
+    judged = judged.withColumn("low", F.coalesce("low", "least")).withColumn("high", F.coalesce("high", "most")).withColumn("base_failed", failed)
     inside = F.coalesce(F.col("nats").between(F.col("low"), F.col("high")), F.lit(False))
     return judged.select("doc_id", *COUNTS, "base_failed", F.exp("nats").alias("perplexity"), F.exp("low").alias("low"), F.exp("high").alias("high"), (~F.col("base_failed") & inside).alias("kept"))
 
