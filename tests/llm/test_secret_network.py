@@ -1,0 +1,23 @@
+"""The secret network's threshold, labels and candidates."""
+
+import numpy as np
+
+from tidemark.llm import secret_scan as S
+
+
+def test_threshold_keeps_the_recall(monkeypatch):
+    """Also where secrets can't be told from harmless examples, so that keeping them takes a threshold under even odds."""
+    seen, scores = [], S.CharCnn.scores
+
+    def noted(net, windows):
+        seen.append(scores(net, windows))
+        return seen[-1]
+
+    def alike(rng, words, n):
+        same = [S.encode(f"see {k % 7}abcdefghijklmnop{k % 7} end", S.Span("net", 4, 22)) for k in range(n)]
+        return np.array(same), (rng.random(n) < 0.4).astype(np.int64)
+
+    monkeypatch.setattr(S.CharCnn, "scores", noted)
+    monkeypatch.setattr(S, "_drawn", alike)
+    threshold = S.train([]).w["threshold"][0]
+    assert len(seen[-1]) and np.mean(seen[-1] >= threshold) >= S.RECALL and threshold < 0.5

@@ -192,6 +192,15 @@ def _drawn(rng: np.random.Generator, words: list[str], n: int) -> tuple[np.ndarr
     return np.array(windows), np.array(y)
 
 
+def threshold_for(secret: np.ndarray, recall: float = RECALL) -> np.float32:
+    """The highest threshold that at least ``recall`` of these scores of secrets reach, however low that is."""
+    if not len(secret):
+        return np.float32(0)
+    wanted = np.sort(secret)[int((1 - recall) * len(secret))]
+    found = np.float32(wanted)  # the weights' precision: rounded down, so that the score itself still reaches it
+    return found if found <= wanted else np.nextafter(found, np.float32(0))
+
+
 def train(texts: list[str], recall: float = RECALL, seed: int = SEED) -> CharCnn:
     """Fits on the findings of ``texts`` and on drawn examples; a fifth of them calibrates."""
     from tidemark.llm.toxicity import _Adam, fit_line
@@ -222,9 +231,7 @@ def train(texts: list[str], recall: float = RECALL, seed: int = SEED) -> CharCnn
             adam.step(net.backward(x[at], saved, d.astype(np.float32)))
     logit = np.concatenate([net.forward(x[back[k : k + 512]])[0] for k in range(0, len(back), 512)])
     net.w["scale"][0], net.w["shift"][0] = fit_line(logit.astype(np.float64), y[back])
-    secret = np.sort(net.scores(x[back[y[back] == 1]]))
-    # the highest threshold with the recall wanted; never under even odds, where most of what it passes would be harmless
-    net.w["threshold"][0] = max(0.5, secret[int((1 - recall) * len(secret))] if len(secret) else 0.5)
+    net.w["threshold"][0] = threshold_for(net.scores(x[back[y[back] == 1]]), recall)
     return net
 
 
