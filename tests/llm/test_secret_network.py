@@ -21,3 +21,16 @@ def test_threshold_keeps_the_recall(monkeypatch):
     monkeypatch.setattr(S, "_drawn", alike)
     threshold = S.train([]).w["threshold"][0]
     assert len(seen[-1]) and np.mean(seen[-1] >= threshold) >= S.RECALL and threshold < 0.5
+
+
+def test_unknown_formats_teach_nothing_harmless():
+    """A hot source full of secrets that no base pattern knows: others of their format are still found."""
+    rng, letters = np.random.default_rng(5), list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+    key = lambda: "ghp_" + "".join(rng.choice(letters, 30))
+    texts = [f"deploy the service with {key()} as before and see mail7.example.com for more" for _ in range(1500)]
+    net = S.train(texts)
+    more = [f"deploy the service with {key()} as before" for _ in range(300)]
+    found = sum(any(s.kind == "net" and s.start <= 24 < s.end for s in S.scan_text(t, net)[1]) for t in more)
+    assert found >= 0.97 * len(more)
+    assert not S.scan_text("see mail7.example.com for more", net)[1]
+    assert S.shown_harmless("mail5.example.com/docs/2024-01-02T10.00Z", set()) and not S.shown_harmless(key(), {"deploy"})

@@ -3,8 +3,10 @@
 Candidates are the findings of the base patterns and every other long run of token characters that holds a digit and
 isn't plain decimal. The network learns from labelled findings: those of a bounded sample of documents, labelled by
 the base patterns, with the pattern's own key word blanked in half of them so that the value and its
-surroundings must tell, and drawn examples of known formats and of harmless look-alikes. Its threshold is calibrated
-on examples held back: the highest that keeps the wanted recall. Base findings stay whatever the network says.
+surroundings must tell, drawn examples of known formats and of harmless look-alikes, and secrets of formats that no base
+pattern knows, planted in the sample's texts. Other runs of the sample teach only where a rule shows them harmless. The
+threshold is calibrated on secrets held back: the highest that keeps the wanted recall of all and of the planted ones.
+Base findings stay whatever the network says.
 """
 
 from __future__ import annotations
@@ -44,6 +46,7 @@ WIDTH, FILTERS, EMBED, HIDDEN = 5, 24, 10, 16
 RECALL = 0.99
 #: The bound of the training sample: at most so many documents with candidates, by the order of a hash of the id.
 SAMPLE_DOCUMENTS = 4_000
+PLANTED = 1_000
 DRAWN, ROUNDS, BATCH, RATE, SEED = 1_500, 6, 128, 0.01, 11
 ALPHABET = 100
 BLANK, OTHER = 0, 1
@@ -159,12 +162,26 @@ class CharCnn:
         return out
 
 
-def _drawn(rng: np.random.Generator, words: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Examples of known formats (1) and of harmless look-alikes (0), among words of the corpus."""
+#: Parts of addresses and paths that are harmless beside the words of the texts; and what a harmless part looks like.
+_PLAIN = frozenset("www com org net edu html htm http https mail example index path page file img src docs data user api test".split())
+_WORD_PART = re.compile(r"([A-Za-z]{1,12})[0-9]{0,4}")
+_NUMBER_PART = re.compile(r"[0-9]{1,8}|[0-9]{1,2}T[0-9]{2}|[0-9]{2}Z")
+
+
+def shown_harmless(run: str, words: set[str]) -> bool:
+    """Whether a run is made of nothing but short numbers, dates, and words of the texts with up to four digits behind."""
+    for part in filter(None, re.split(r"[+/_.=-]+", run)):
+        word = _WORD_PART.fullmatch(part)
+        if not _NUMBER_PART.fullmatch(part) and not (word and (word[1] in words or word[1].lower() in _PLAIN)):
+            return False
+    return True
+
+
+def _secrets(rng: np.random.Generator) -> tuple:
+    """Drawing functions of secrets: the last four are of formats that no base pattern knows."""
     pick = lambda alphabet, size: "".join(rng.choice(list(alphabet), size))
     letters, digits = string.ascii_letters, string.digits
-    some = lambda k: [words[i] for i in rng.integers(0, len(words), k)]
-    secret = (
+    return (
         lambda: pick("0123456789abcdef", rng.integers(24, 65)),
         lambda: "AKIA" + pick(string.ascii_uppercase + digits, 16),
         lambda: pick(letters + digits, rng.integers(20, 44)),
@@ -172,6 +189,28 @@ def _drawn(rng: np.random.Generator, words: list[str], n: int) -> tuple[np.ndarr
         lambda: rng.choice(["ghp_", "gho_", "xoxb-", "sk_live_", "pk_live_", "glpat-"]) + pick(letters + digits, 30),
         lambda: "eyJ" + pick(letters + digits, 30) + "." + pick(letters + digits + "_-", 40),
     )
+
+
+def _planted(rng: np.random.Generator, texts: list[str], n: int) -> list[np.ndarray]:
+    """Windows of secrets that no base pattern finds, each put before a word of one of the texts."""
+    texts, out = [t for t in texts if " " in t], []
+    for _ in range(n if texts else 0):
+        text = texts[rng.integers(0, len(texts))]
+        at = text.find(" ", rng.integers(0, len(text)))
+        at = text.find(" ") if at < 0 else at
+        value = _secrets(rng)[rng.integers(2, 6)]()
+        before, after = text[max(0, at - 2 * BEFORE) : at + 1], text[at : at + AFTER]
+        if not base_spans(value):
+            out.append(encode(before + value + after, Span("net", len(before), len(before) + len(value))))
+    return out
+
+
+def _drawn(rng: np.random.Generator, words: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Examples of known formats (1) and of harmless look-alikes (0), among words of the corpus."""
+    pick = lambda alphabet, size: "".join(rng.choice(list(alphabet), size))
+    digits = string.digits
+    some = lambda k: [words[i] for i in rng.integers(0, len(words), k)]
+    secret = _secrets(rng)
     harmless = (
         lambda: "-".join(some(3)) + str(rng.integers(0, 100)),
         lambda: "/".join(some(3)) + f"/{rng.integers(0, 10_000)}",
@@ -202,21 +241,26 @@ def threshold_for(secret: np.ndarray, recall: float = RECALL) -> np.float32:
 
 
 def train(texts: list[str], recall: float = RECALL, seed: int = SEED) -> CharCnn:
-    """Fits on the findings of ``texts`` and on drawn examples; a fifth of them calibrates."""
+    """Fits on the findings of ``texts``, on drawn and on planted examples; a fifth of them calibrates."""
     from tidemark.llm.toxicity import _Adam, fit_line
 
     rng, windows, y, words = np.random.default_rng(seed), [], [], set()
+    for text in texts:
+        words.update(w for w in text.split()[:200] if w.isalpha())
     for text in texts:
         base, free = candidates(text)
         for number, span in enumerate(base):
             windows.append(encode(text, span, hide_key=number % 2 == 0))
             y.append(1)
-        windows += [encode(text, span) for span in free]
-        y += [0] * len(free)
-        words.update(w for w in text.split()[:200] if w.isalpha())
+        plain = [span for span in free if shown_harmless(text[span.start : span.end], words)]
+        windows += [encode(text, span) for span in plain]
+        y += [0] * len(plain)
+    planted = _planted(rng, texts, PLANTED)
     drawn, drawn_y = _drawn(rng, sorted(words)[:5000] or ["and", "the", "of"], DRAWN)
-    x = np.concatenate([np.array(windows), drawn]) if windows else drawn
-    y = np.concatenate([np.array(y, np.int64), drawn_y]).astype(np.float32)
+    x = np.concatenate([np.array(part) for part in (windows, planted, drawn) if len(part)])
+    y = np.concatenate([np.array(y, np.int64), np.ones(len(planted), np.int64), drawn_y]).astype(np.float32)
+    unknown = np.zeros(len(x), bool)
+    unknown[len(windows) : len(windows) + len(planted)] = True
     order = rng.permutation(len(y))
     back, fit = order[: len(y) // 5], order[len(y) // 5 :]
     net = CharCnn(seed=seed)
@@ -231,7 +275,8 @@ def train(texts: list[str], recall: float = RECALL, seed: int = SEED) -> CharCnn
             adam.step(net.backward(x[at], saved, d.astype(np.float32)))
     logit = np.concatenate([net.forward(x[back[k : k + 512]])[0] for k in range(0, len(back), 512)])
     net.w["scale"][0], net.w["shift"][0] = fit_line(logit.astype(np.float64), y[back])
-    net.w["threshold"][0] = threshold_for(net.scores(x[back[y[back] == 1]]), recall)
+    groups = [back[y[back] == 1], back[unknown[back]]] if planted else [back[y[back] == 1]]
+    net.w["threshold"][0] = min(threshold_for(net.scores(x[held]), recall) for held in groups)
     return net
 
 
