@@ -1,7 +1,8 @@
 """3. Secret scans: pattern findings, and a character convolutional network over every candidate with its context.
 
-Candidates are the findings of the base patterns and every other long run of token characters that holds a digit and
-isn't plain decimal. The network learns from labelled findings: those of a bounded sample of documents, labelled by
+Candidates are the findings of the base patterns and every other long run of token characters, or part of one left
+outside those findings, that holds a digit and isn't plain decimal. Of a candidate longer than the network's window,
+overlapping windows are read and the highest score counts. The network learns from labelled findings: those of a bounded sample of documents, labelled by
 the base patterns, with the pattern's own key word blanked in half of them so that the value and its
 surroundings must tell, drawn examples of known formats and of harmless look-alikes, and secrets of formats that no base
 pattern knows, planted in the sample's texts. Other runs of the sample teach only where a rule shows them harmless. The
@@ -77,24 +78,36 @@ def ordered(spans: list[Span]) -> list[Span]:
 
 
 def candidates(text: str) -> tuple[list[Span], list[Span]]:
-    """Base findings, and runs of token characters outside them that might be secrets."""
-    base, free = base_spans(text), []
+    """Base findings, and the parts outside them of runs of token characters that might be secrets."""
+    base, free, k, covered = base_spans(text), [], 0, 0
     for m in _TOKEN_RUN.finditer(text):
-        run = m[0]
-        if any(c.isdigit() for c in run) and any(c.isalpha() for c in run) and not any(s.start < m.end() and m.start() < s.end for s in base):
-            free.append(Span("net", m.start(), m.end()))
+        at, parts = m.start(), []
+        while k < len(base) and base[k].start < m.end():
+            parts.append((max(at, covered), base[k].start))
+            covered = max(covered, base[k].end)
+            k += 1
+        parts.append((max(at, covered), m.end()))
+        for start, end in parts:
+            run = text[start:end]
+            if len(run) >= LEAST_TOKEN and any(c.isdigit() for c in run) and any(c.isalpha() for c in run):
+                free.append(Span("net", start, end))
     return base, free
 
 
+def pieces(span: Span) -> list[Span]:
+    """The span in pieces that the network can read: up to INSIDE characters each, every two neighbours overlapping by half or more."""
+    last = span.end - INSIDE
+    starts = [*range(span.start, last, INSIDE // 2), last] if last > span.start else [span.start]
+    return [Span(span.kind, a, min(a + INSIDE, span.end)) for a in starts]
+
+
 def encode(text: str, span: Span, hide_key: bool = False) -> np.ndarray:
-    """The window of character numbers that the network reads. Of a long candidate: its first and last characters."""
+    """The window of character numbers that the network reads of a span of up to INSIDE characters."""
     start, end = span.start, span.end
     before = text[max(0, start - BEFORE) : start]
     inside, after = text[start:end], text[end : end + AFTER]
     if hide_key and span.kind == "assign" and (m := ASSIGN.match(inside)):
-        before, inside = text[max(0, start - BEFORE) : start], m[2]
-    if len(inside) > INSIDE:
-        inside = inside[: INSIDE // 2] + inside[-INSIDE // 2 :]
+        inside = m[2]
     window = np.zeros(BEFORE + INSIDE + AFTER, np.int64)
     if before:
         window[BEFORE - len(before) : BEFORE] = _codes(before)
@@ -103,6 +116,18 @@ def encode(text: str, span: Span, hide_key: bool = False) -> np.ndarray:
     return window
 
 
+def windows_of(text: str, span: Span, hide_key: bool = False) -> list[np.ndarray]:
+    return [encode(text, piece, hide_key) for piece in pieces(span)]
+
+
+def highest(net: CharCnn, windows: list[list[np.ndarray]]) -> np.ndarray:
+    """For each span's windows, the highest of their scores."""
+    if not windows:
+        return np.zeros(0)
+    sizes = np.array([len(w) for w in windows])
+    return np.maximum.reduceat(net.scores(np.array([x for w in windows for x in w])), np.cumsum(sizes) - sizes)
+
+
 class CharCnn:
     """Embedding, one convolution, the greatest response over the candidate and over its context, and two dense layers."""
 
@@ -191,17 +216,24 @@ def _secrets(rng: np.random.Generator) -> tuple:
     )
 
 
-def _planted(rng: np.random.Generator, texts: list[str], n: int) -> list[np.ndarray]:
-    """Windows of secrets that no base pattern finds, each put before a word of one of the texts."""
+def _planted(rng: np.random.Generator, texts: list[str], words: list[str], n: int) -> list[list[np.ndarray]]:
+    """Windows of secrets that no base pattern finds, each put before a word of one of the texts: half of them alone, the
+    others joined to words of the texts in a long run. Of a long run: the windows that hold some of the secret."""
     texts, out = [t for t in texts if " " in t], []
-    for _ in range(n if texts else 0):
+    some = lambda: [words[i] for i in rng.integers(0, len(words), rng.integers(1, 9))]
+    for k in range(n if texts else 0):
         text = texts[rng.integers(0, len(texts))]
         at = text.find(" ", rng.integers(0, len(text)))
         at = text.find(" ") if at < 0 else at
         value = _secrets(rng)[rng.integers(2, 6)]()
+        by = str(rng.choice(["/", "=", ".", "-", "_"]))
+        lead, trail = (by.join([*some(), ""]), by.join(["", *some()])) if k % 2 else ("", "")
         before, after = text[max(0, at - 2 * BEFORE) : at + 1], text[at : at + AFTER]
-        if not base_spans(value):
-            out.append(encode(before + value + after, Span("net", len(before), len(before) + len(value))))
+        if not base_spans(lead + value + trail):
+            start = len(before) + len(lead)
+            run = Span("net", len(before), start + len(value) + len(trail))
+            read = [p for p in pieces(run) if min(p.end, start + len(value)) - max(p.start, start) >= LEAST_TOKEN]
+            out.append([encode(before + lead + value + trail + after, p) for p in read])
     return out
 
 
@@ -226,8 +258,9 @@ def _drawn(rng: np.random.Generator, words: list[str], n: int) -> tuple[np.ndarr
         label = k % 2
         value = (secret if label else harmless)[rng.integers(0, len(secret if label else harmless))]()
         lead = " ".join(some(4)) + rng.choice([" ", ": ", " = ", '="', " '", "\n"])
-        windows.append(encode(f"{lead}{value} {' '.join(some(3))}", Span("net", len(lead), len(lead) + len(value))))
-        y.append(label)
+        read = windows_of(f"{lead}{value} {' '.join(some(3))}", Span("net", len(lead), len(lead) + len(value)))
+        windows += read
+        y += [label] * len(read)
     return np.array(windows), np.array(y)
 
 
@@ -250,17 +283,19 @@ def train(texts: list[str], recall: float = RECALL, seed: int = SEED) -> CharCnn
     for text in texts:
         base, free = candidates(text)
         for number, span in enumerate(base):
-            windows.append(encode(text, span, hide_key=number % 2 == 0))
-            y.append(1)
-        plain = [span for span in free if shown_harmless(text[span.start : span.end], words)]
-        windows += [encode(text, span) for span in plain]
-        y += [0] * len(plain)
-    planted = _planted(rng, texts, PLANTED)
-    drawn, drawn_y = _drawn(rng, sorted(words)[:5000] or ["and", "the", "of"], DRAWN)
-    x = np.concatenate([np.array(part) for part in (windows, planted, drawn) if len(part)])
-    y = np.concatenate([np.array(y, np.int64), np.ones(len(planted), np.int64), drawn_y]).astype(np.float32)
-    unknown = np.zeros(len(x), bool)
-    unknown[len(windows) : len(windows) + len(planted)] = True
+            windows += windows_of(text, span, hide_key=number % 2 == 0)
+        y += [1] * (len(windows) - len(y))
+        for span in free:
+            if shown_harmless(text[span.start : span.end], words):
+                windows += windows_of(text, span)
+        y += [0] * (len(windows) - len(y))
+    some_words = sorted(words)[:5000] or ["and", "the", "of"]
+    planted = _planted(rng, texts, some_words, PLANTED)
+    held, planted = planted[: len(planted) // 5], planted[len(planted) // 5 :]
+    drawn, drawn_y = _drawn(rng, some_words, DRAWN)
+    taught = [w for one in planted for w in one]
+    x = np.concatenate([np.array(part) for part in (windows, taught, drawn) if len(part)])
+    y = np.concatenate([np.array(y, np.int64), np.ones(len(taught), np.int64), drawn_y]).astype(np.float32)
     order = rng.permutation(len(y))
     back, fit = order[: len(y) // 5], order[len(y) // 5 :]
     net = CharCnn(seed=seed)
@@ -275,8 +310,8 @@ def train(texts: list[str], recall: float = RECALL, seed: int = SEED) -> CharCnn
             adam.step(net.backward(x[at], saved, d.astype(np.float32)))
     logit = np.concatenate([net.forward(x[back[k : k + 512]])[0] for k in range(0, len(back), 512)])
     net.w["scale"][0], net.w["shift"][0] = fit_line(logit.astype(np.float64), y[back])
-    groups = [back[y[back] == 1], back[unknown[back]]] if planted else [back[y[back] == 1]]
-    net.w["threshold"][0] = min(threshold_for(net.scores(x[held]), recall) for held in groups)
+    of_all = threshold_for(net.scores(x[back[y[back] == 1]]), recall)
+    net.w["threshold"][0] = min(of_all, threshold_for(highest(net, held), recall)) if held else of_all
     return net
 
 
@@ -304,7 +339,7 @@ def scan_text(text: str, net: CharCnn) -> tuple[list[Span], list[Span], list[flo
     spans = ordered([*base, *free])
     if not spans:
         return [], [], []
-    scores = net.scores(np.array([encode(text, s) for s in spans]))
+    scores = highest(net, [windows_of(text, s) for s in spans])
     kept = [(s, float(p)) for s, p in zip(spans, scores, strict=True) if s.kind != "net" or p >= net.w["threshold"][0]]
     return base, [s for s, _ in kept], [p for _, p in kept]
 
