@@ -5,12 +5,13 @@ from __future__ import annotations
 import re
 import warnings
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column as SparkColumn
 from pyspark.sql import types as T
 
 from tidemark.errors import DefinitionError
+from tidemark.functions.naming import converted
 
 #: The closed set of column types and what holds each in Spark. Times of day are microseconds, as Parquet has no such type in Spark.
 TYPES: dict[str, T.DataType] = {
@@ -36,10 +37,12 @@ SOFT_DELETE, TENANT = "deleted_at", "tenant_id"
 
 @dataclass(frozen=True)
 class Converter:
-    """How a model value is stored: two functions of a Spark column, so conversion runs in the JVM."""
+    """How a model value is stored: two functions of a Spark column, so conversion runs in the JVM. ``model`` is the model
+    value's type, if it isn't the stored one's."""
 
     to_stored: Callable[[SparkColumn], SparkColumn]
     from_stored: Callable[[SparkColumn], SparkColumn]
+    model: T.DataType | None = None
 
 
 @dataclass(frozen=True)
@@ -82,6 +85,17 @@ class Col:
     def spark_type(self) -> T.DataType:
         return TYPES[self.type]
 
+    @property
+    def is_struct(self) -> bool:
+        """JSON text with a declared schema, a struct to callers."""
+        return self.json is not None and not isinstance(self.json, bool)
+
+    def model_type(self) -> T.DataType:
+        """The type that callers give and get."""
+        if self.is_struct:
+            return self.json
+        return self.converter.model if self.converter and self.converter.model else self.spark_type()
+
 
 @dataclass(frozen=True)
 class Entity:
@@ -124,6 +138,18 @@ class Entity:
     def schema(self) -> T.StructType:
         return T.StructType([T.StructField(c.name, c.spark_type(), not c.not_null) for c in self.columns])
 
+    def model_schema(self) -> T.StructType:
+        """Of rows that callers give: anything may be left out."""
+        return T.StructType([T.StructField(c.name, c.model_type(), True) for c in self.columns])
+
+    def renamed(self, style: str) -> Entity:
+        """The entity with table and column names in a naming style; properties keep the names that they were declared
+        under, and columns declared beside a property of another name stay."""
+        new = {c.name: c.name if c.prop else converted(c.name, style) for c in self.columns}
+        columns = tuple(replace(c, name=new[c.name], prop=c.prop or c.name, references=c.references and (converted(c.references[0], style), c.references[1])) for c in self.columns)
+        group = lambda rules: tuple(tuple(new[n] for n in g) for g in rules)
+        return replace(self, table=converted(self.table, style), columns=columns, indexes=group(self.indexes), unique=group(self.unique))
+
     def unique_sets(self) -> list[tuple[str, ...]]:
         return [(self.key.name,), *[(c.name,) for c in self.columns if c.unique], *self.unique]
 
@@ -188,5 +214,7 @@ def check(e: Entity) -> None:
             fail.append(f"an index or unique rule over unknown columns: {group}")
     if names and keys and not any(c.insertable or c.key for c in e.columns):
         fail.append("no column can be inserted")
+    if len(names) > 1 and not any(c.updatable for c in e.columns):
+        warnings.warn(f"{e.table}: no column can be updated", stacklevel=4)
     if fail:
         raise DefinitionError(f"{e.table}: " + "; ".join(fail))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
 import logging
+import threading
 import time
 from collections import Counter
 from contextlib import contextmanager
@@ -16,10 +18,48 @@ class Statement:
     sql: str
     args: dict[str, object]
     entity: str = ""
+    operation: str = "select"
+    #: "plan": a lazy frame was made; "run": an action ran, or a write.
+    phase: str = "plan"
+    metric: str = ""
     seconds: float = 0.0
     notes: dict[str, object] = field(default_factory=dict)
 
 
+@dataclass(frozen=True)
+class Trace:
+    """One run of a traced query; no values, and no names but the entity's."""
+
+    operation: str
+    entity: str
+    seconds: float
+    jobs: int
+    stages: int
+    tasks: int
+    error: str = ""
+
+
+#: Upper edges of the metrics' duration buckets, in seconds.
+BUCKETS = (0.01, 0.1, 1.0, 10.0, 60.0, 600.0)
+
+
+class Metrics:
+    """Counts and durations of runs by operation, entity, name given to the query, and outcome: few values each."""
+
+    def __init__(self) -> None:
+        self.lock = threading.Lock()
+        self.runs: Counter[tuple[str, str, str, str]] = Counter()
+        self.seconds: dict[tuple[str, str, str, str], float] = {}
+        self.buckets: dict[tuple[str, str, str, str], list[int]] = {}
+
+    def add(self, s: Statement, outcome: str) -> None:
+        key = (s.operation, s.entity, s.metric, outcome)
+        with self.lock:
+            self.runs[key] += 1
+            self.seconds[key] = self.seconds.get(key, 0.0) + s.seconds
+            self.buckets.setdefault(key, [0] * (len(BUCKETS) + 1))[bisect.bisect_left(BUCKETS, s.seconds)] += 1
+
+
 class Interceptor:
     """Lower priorities come first. Errors in ``failed`` are swallowed, so the statement's own error stands."""
 
@@ -43,7 +83,7 @@ class Audit(Interceptor):
     def _tell(self, s: Statement, end: str) -> None:
         shown = {k: "***" if k in self.sensitive else v for k, v in s.args.items()} if self.values else len(s.args)
         self.entries.append((s.entity, s.sql, shown, end))
-        log.info("%s %s %s %.3fs", s.entity, shown, end, s.seconds)
+        log.info("%s %s %s %s %s %.3fs", s.phase, s.operation, s.entity, shown, end, s.seconds)
 
     def after(self, statement: Statement) -> None:
         self._tell(statement, "ok")
@@ -56,6 +96,12 @@ class Hooks:
     def __init__(self) -> None:
         self.list: list[Interceptor] = []
         self.counters: Counter[str] = Counter()
+        self.metrics = Metrics()
+
+    def _count(self, statement: Statement, end: str, outcome: str) -> None:
+        self.counters[end] += 1
+        if statement.phase == "run":
+            self.metrics.add(statement, outcome)
 
     def add(self, interceptor: Interceptor) -> None:
         self.list = sorted([*self.list, interceptor], key=lambda i: i.priority)
@@ -69,7 +115,7 @@ class Hooks:
             yield statement
         except BaseException as error:
             statement.seconds = time.monotonic() - began
-            self.counters["failed"] += 1
+            self._count(statement, "failed", type(error).__name__)
             for i in self.list:
                 try:
                     i.failed(statement, error)
@@ -77,6 +123,6 @@ class Hooks:
                     pass
             raise
         statement.seconds = time.monotonic() - began
-        self.counters["done"] += 1
+        self._count(statement, "done", "ok")
         for i in self.list:
             i.after(statement)

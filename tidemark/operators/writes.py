@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.entity import SOFT_DELETE, TENANT, Entity
-from tidemark.errors import ConstraintError, QueryError
+from tidemark.errors import QueryError
 from tidemark.functions.columns import breaks_range
 from tidemark.functions.naming import quoted
 
@@ -24,33 +24,27 @@ def now(entity: Entity, name: str) -> SparkColumn:
     return (utc if kind.typeName() in ("timestamp_ntz", "string", "date") else F.current_timestamp()).cast(kind)
 
 
-def with_identities(rows: DataFrame, entity: Entity, last: int) -> DataFrame:
-    """Numbers rows from ``last`` + 1. Counts by partition come first, so numbering needs no partition of all rows."""
+def with_identities(stored: DataFrame, entity: Entity, last: int) -> DataFrame:
+    """Numbers rows of Parquet files from ``last`` + 1, by file and place in it. The files stand still, so a row's number
+    doesn't depend on how a run cuts them up; the table of files and their first numbers is as long as there are files."""
     key = entity.key
-    placed = rows.drop(key.name).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
-    counts = sorted((r["_part"], r["n"]) for r in placed.groupBy("_part").agg(F.count("*").alias("n")).collect())
-    offsets, total = [], last
-    for part, n in counts:
-        offsets += [F.lit(part), F.lit(total)]
-        total += n
-    if not offsets:
-        return rows
-    # within a partition, row numbers are those of monotonically_increasing_id, from its partition's base
-    first = F.col("_row") - F.shiftleft(F.col("_part").cast("long"), 33)
-    value = F.element_at(F.create_map(*offsets), F.col("_part")) + first + 1
-    return placed.withColumn(key.name, value.cast(key.spark_type())).select(*rows.columns)
-
-
-def prepare_insert(rows: DataFrame, entity: Entity, last: int = 0, keep_keys: bool = False) -> DataFrame:
-    """New rows in the table's columns: what an insert leaves out is null, stamps are now, identities count on, computed
-    columns are computed."""
+    placed = stored.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    first = placed.groupBy("_file").agg(F.count("*").alias("_n")).withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0)) + last + 1).drop("_n")
+    numbered = placed.join(F.broadcast(first), "_file")
+    return numbered.withColumn(key.name, (F.col("_first") + F.col("_row")).cast(key.spark_type())).select(*[quoted(c) for c in stored.columns])
+
+
+def prepare_insert(rows: DataFrame, entity: Entity, keep_keys: bool = False) -> DataFrame:
+    """New rows in the table's columns: what an insert leaves out is null, stamps are now, computed columns are computed.
+    An identity stays null for ``with_identities``, unless keys are kept."""
     out = rows
     for c in entity.columns:
         if c.name not in out.columns or not (c.upsertable if keep_keys else c.insertable or c.identity):
             out = out.withColumn(c.name, (now(entity, c.name) if c.stamp else F.lit(None)).cast(c.spark_type()))
     out = out.select(*[F.col(c.name).cast(c.spark_type()).alias(c.name) for c in entity.columns])
     if entity.key.identity and not keep_keys:
-        out = with_identities(out, entity, last)
+        out = out.withColumn(entity.key.name, F.lit(None).cast(entity.key.spark_type()))
     return recompute(out, entity)
 
 
@@ -111,6 +105,13 @@ def delete_keys(base: DataFrame, keys: DataFrame, entity: Entity, tenant: object
     return joined.select(*[F.when(fresh, stamp).otherwise(F.col(c)).alias(c) if c == SOFT_DELETE else F.col(c) for c in entity.names])
 
 
+def deletable(base: DataFrame, keys: DataFrame, entity: Entity, tenant: object | None = None) -> DataFrame:
+    """Rows that a soft delete by these keys marks."""
+    marked = keys.select(F.col(quoted(entity.key.name)).alias("_key"))
+    live = base.where(F.col(SOFT_DELETE).isNull() & F.coalesce(_own(entity, tenant), F.lit(False)))
+    return live.join(marked, F.col(quoted(entity.key.name)) == F.col("_key"), "left_semi")
+
+
 def upsert(base: DataFrame, delta: DataFrame, entity: Entity) -> DataFrame:
     """Rows by key: given rows win in their updatable columns, new keys come in, others stay."""
     if entity.version:
@@ -135,10 +136,10 @@ def repeated_keys(delta: DataFrame, entity: Entity) -> DataFrame:
     return delta.groupBy(quoted(entity.key.name)).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def unique_violations(rows: DataFrame, entity: Entity) -> DataFrame:
+def unique_violations(rows: DataFrame, entity: Entity, rules: list[tuple[str, ...]] | None = None) -> DataFrame:
     """(rule, n): for each broken uniqueness rule the number of its repeated values; nulls don't repeat."""
     found = None
-    for group in entity.unique_sets():
+    for group in entity.unique_sets() if rules is None else rules:
         present = rows.where(" AND ".join(f"{quoted(c)} IS NOT NULL" for c in group)).groupBy(*[quoted(c) for c in group]).agg(F.count("*").alias("k"))
         some = present.where("k > 1").agg(F.count("*").alias("n")).select(F.lit(",".join(group)).alias("rule"), "n")
         found = some if found is None else found.unionByName(some)
@@ -151,25 +152,12 @@ def orphans(rows: DataFrame, column: str, parents: DataFrame, parent_key: str) -
     return rows.where(F.col(quoted(column)).isNotNull()).join(known, F.col(quoted(column)) == F.col("_parent"), "left_anti")
 
 
-def last_identity(base: DataFrame, entity: Entity) -> int:
-    return base.agg(F.max(quoted(entity.key.name))).first()[0] or 0
-
-
-def check_rows(rows: DataFrame, entity: Entity) -> None:
-    """Not-null rules and value ranges, in one pass."""
-    tests = []
+def row_rules(entity: Entity) -> dict[str, SparkColumn]:
+    """Not-null rules and value ranges: for each the number of rows that break it, as an aggregate."""
+    rules = {}
     for c in entity.columns:
         if c.not_null and not c.computed:
-            tests.append(F.sum(F.col(quoted(c.name)).isNull().cast("long")).alias(f"{c.name} is null"))
+            rules[f"{c.name} is null"] = F.sum(F.col(quoted(c.name)).isNull().cast("long"))
         if (wrong := breaks_range(c)) is not None:
-            tests.append(F.sum(wrong.cast("long")).alias(f"{c.name} is out of range"))
-    if tests:
-        found = rows.agg(*tests).first().asDict()
-        if broken := {k: v for k, v in found.items() if v}:
-            raise ConstraintError(f"{entity.table}: {broken}")
-
-
-def latest_by(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """Of rows with one key, the last by ``order``."""
-    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(quoted(key)).orderBy(F.col(quoted(order)).desc())))
-    return ranked.where("_rank = 1").drop("_rank")
+            rules[f"{c.name} is out of range"] = F.sum(wrong.cast("long"))
+    return rules

@@ -6,12 +6,18 @@ import threading
 from collections.abc import Callable
 from types import MappingProxyType
 
+from typing import TYPE_CHECKING
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.entity import Entity
 from tidemark.errors import DefinitionError
 
-Source = Callable[[SparkSession, str | None], DataFrame]
+if TYPE_CHECKING:
+    from tidemark.session import Session
+
+#: Rows for the session that asks, of a named or numbered snapshot where the source has such.
+Source = Callable[["Session", "str | int | None"], DataFrame]
 
 
 class Catalog:
@@ -20,19 +26,20 @@ class Catalog:
     def __init__(self) -> None:
         self._lock, self._entries = threading.Lock(), MappingProxyType({})
 
-    def register(self, entity: Entity, source: Source) -> None:
+    def register(self, entity: Entity, source: Source, managed: bool = False) -> None:
+        """``managed``: the source is a table of the session's store."""
         with self._lock:
             if entity.table in self._entries:
                 raise DefinitionError(f"{entity.table} is registered already")
-            self._entries = MappingProxyType({**self._entries, entity.table: (entity, source)})
+            self._entries = MappingProxyType({**self._entries, entity.table: (entity, source, managed)})
 
     def rebind(self, entity: Entity, source: Source) -> None:
         with self._lock:
-            self._entries = MappingProxyType({**self._entries, entity.table: (entity, source)})
+            self._entries = MappingProxyType({**self._entries, entity.table: (entity, source, False)})
 
     def parquet(self, entity: Entity, path: str) -> None:
         """Parquet files; columns are checked against the entity when they are read."""
-        self.register(entity, lambda spark, _: read_parquet(spark, path, entity))
+        self.register(entity, lambda session, _: read_parquet(session.spark, path, entity))
 
     def frame(self, entity: Entity, df: DataFrame) -> None:
         self.register(entity, lambda *_: df)
@@ -43,7 +50,14 @@ class Catalog:
         return self._entries[entity.table][1]
 
     def entities(self) -> list[Entity]:
-        return [e for e, _ in self._entries.values()]
+        return [e for e, _, _ in self._entries.values()]
+
+    def is_managed(self, entity: Entity) -> bool:
+        return entity.table in self._entries and self._entries[entity.table][2]
+
+    def unknown_references(self) -> list[str]:
+        """References that name a table that isn't registered."""
+        return [f"{e.table}.{c.name} refers to {c.references[0]}, which isn't registered" for e in self.entities() for c in e.columns if c.references and c.references[0] not in self._entries]
 
 
 def read_parquet(spark: SparkSession, path: str, entity: Entity) -> DataFrame:
