@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,9 +12,10 @@ from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from tidemark.entity import Col, Converter, Entity
-from tidemark.functions.columns import from_stored, to_stored
+from tidemark.errors import ConstraintError, VersionConflict
+from tidemark.functions.columns import to_stored
 from tidemark.operators import vectors, writes
-from tidemark.session import Session
+from tidemark.session import Options, Session
 from tidemark.sources import tables as t
 from tidemark.sqlfile import sections, sql_template
 from tidemark.streaming import windows
@@ -20,6 +23,8 @@ from tidemark.streaming import windows
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
+NAMES = Entity("names", (Col("id", "long", key=True, identity=True), Col("name")))
+
 SD = "(SELECT *, CASE WHEN o_orderstatus = 'F' THEN o_orderdate END AS deleted_at FROM orders)"
 EV = "(SELECT *, user_id % 5 AS tenant_id FROM events)"
 CV = "(SELECT *, c_custkey % 3 AS version FROM customer)"
@@ -38,6 +43,11 @@ def query(name: str, sql: str | None = None):
     return put
 
 
+def stored(s: Session, *managed: Entity, **options) -> Session:
+    """A session over the same files and over empty tables of a new store."""
+    return t.open_store(s.spark, s.catalog.folder, *managed, **options)
+
+
 # --- scans
 
 query("scan_all", "SELECT * FROM nation")(lambda s: s.all(t.NATION))
@@ -130,8 +140,11 @@ query("split_query", "SELECT * FROM lineitem WHERE l_quantity > 45")(lambda s: s
 query("count_where", "SELECT count(*) AS value FROM orders WHERE o_totalprice > 150000")(lambda s: s.aggregate(t.ORDERS, "count", "", "o_totalprice > {}", 150000))
 query("count_default", f"SELECT count(*) AS value FROM {SD} WHERE deleted_at IS NULL")(lambda s: s.aggregate(t.ORDERS_SD, "count"))
 query("sum_expr", f"SELECT CAST(sum(CAST(l_quantity * 2 AS {MONEY})) AS DECIMAL(28,6)) AS value FROM lineitem")(lambda s: s.aggregate(t.LINEITEM, "sum", "l_quantity * 2"))
-query("avg_expr", f"SELECT CAST(sum(CAST(o_totalprice AS {MONEY})) AS DOUBLE) / count(*) AS value FROM orders")(
-    lambda s: s.aggregate(t.ORDERS, "sum", "o_totalprice").crossJoin(s.aggregate(t.ORDERS, "count").toDF("n")).select((F.col("value").cast("double") / F.col("n")).alias("value"))
+query("avg_expr", f"SELECT CAST(sum(CAST(o_totalprice AS {MONEY})) AS DOUBLE) / count(*) AS value FROM orders")(lambda s: s.aggregate(t.ORDERS, "avg", "o_totalprice"))
+query("sum_wide", "SELECT CAST(sum(CAST(o_orderkey * 1e10 AS DECIMAL(38,6))) AS DECIMAL(38,6)) AS value FROM orders")(lambda s: s.aggregate(t.ORDERS, "sum", "CAST(o_orderkey AS DOUBLE) * 1e10D"))
+query("avg_wide", "SELECT CAST(sum(CAST(o_orderkey AS HUGEINT)) * 10000000000 AS DOUBLE) / count(*) AS value FROM orders")(lambda s: s.aggregate(t.ORDERS, "avg", "CAST(o_orderkey AS DOUBLE) * 1e10D"))
+query("sum_eight_decimals", "SELECT sum(CAST(l_discount AS DECIMAL(18,8)) + 0.00000001::DECIMAL(18,8)) AS value FROM lineitem")(
+    lambda s: s.aggregate(t.LINEITEM, "sum", "CAST(l_discount AS DECIMAL(18,8)) + CAST('0.00000001' AS DECIMAL(18,8))")
 )
 query("min_expr", "SELECT min(p_retailprice) AS value FROM part")(lambda s: s.aggregate(t.PART, "min", "p_retailprice"))
 query("max_expr", "SELECT max(p_name) AS value FROM part")(lambda s: s.aggregate(t.PART, "max", "p_name"))
@@ -247,10 +260,11 @@ query("seed_twice", UPSERT_SQL)(lambda s: writes.upsert(writes.upsert(s.frame(t.
 
 @query("insert_identity", "SELECT n_nationkey AS id, n_name AS name FROM nation UNION ALL SELECT 24 + row_number() OVER (ORDER BY r_regionkey), r_name FROM region")
 def _(s: Session) -> DataFrame:
-    names = Entity("names", (Col("id", "long", key=True, identity=True), Col("name")))
-    base = s.frame(t.NATION).select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"))
-    given = s.frame(t.REGION).orderBy("r_regionkey").select(F.lit(None).cast("long").alias("id"), F.col("r_name").alias("name")).coalesce(1)
-    return base.unionByName(writes.prepare_insert(given, names, writes.last_identity(base, names)))
+    s = stored(s, NAMES)
+    s.seed(NAMES, s.frame(t.NATION).where("n_nationkey > 0").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name")))
+    s.insert(NAMES, s.frame(t.REGION).orderBy("r_regionkey").select(F.col("r_name").alias("name")))
+    zero = s.frame(t.NATION).where("n_nationkey = 0").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"))
+    return s.all(NAMES).unionByName(zero)
 
 
 @query("version_update", f"SELECT * REPLACE (CASE WHEN c_custkey % 4 = 1 AND version = 1 THEN 'changed' ELSE c_name END AS c_name, CASE WHEN c_custkey % 4 = 1 AND version = 1 THEN c_custkey * 1.0::DOUBLE ELSE c_acctbal END AS c_acctbal, CASE WHEN c_custkey % 4 = 1 AND version = 1 THEN 2 ELSE version END AS version) FROM {CV}")
@@ -271,16 +285,292 @@ def _(s: Session) -> DataFrame:
     return writes.unique_violations(s.frame(t.PART), Entity("part", t.PART.columns, unique=(("p_brand", "p_size"),)))
 
 
+# --- writes through sessions, on a store
+
+OWNED = Entity("owned", (Col("id", "long", key=True), Col("tenant_id", "long", nullable=False), Col("value")), tenant=True)
+SOFT_CUSTOMER = Entity("soft_customer", (*t.CUSTOMER.columns, Col("deleted_at", "timestamp")), soft_delete=True)
+STORED = Entity("customer_stored", t.CUSTOMER.columns)
+STORED_V = Entity("customer_versioned", t.CUSTOMER_V.columns)
+STORED_ORDERS = Entity("orders_stored", t.ORDERS.columns)
+JOINED = "o.* FROM o JOIN c ON o.o_custkey = c.c_custkey AND c.c_mktsegment = {}"
+JOIN_SQL = "SELECT o.* FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey AND c.c_mktsegment = 'BUILDING'"
+OWNED_SQL = "SELECT c_custkey AS id, c_custkey % 3 AS tenant_id, c_name AS value FROM customer"
+
+
+def _owned(s: Session) -> DataFrame:
+    return s.frame(t.CUSTOMER).select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 3).alias("tenant_id"), F.col("c_name").alias("value"))
+
+
+@query("txn_insert_read", f"SELECT tenant_id, count(*) AS n FROM ({OWNED_SQL}) WHERE tenant_id = 1 GROUP BY 1")
+def _(s: Session) -> DataFrame:
+    """Within a transaction a tenant's session counts the rows that it has staged."""
+    s = stored(s, OWNED)
+    one = s.with_tenant(1)
+    with one.transaction():
+        one.insert(OWNED, _owned(s).where("tenant_id = 1"))
+        n = one.query(OWNED).count()
+        one.insert(OWNED, _owned(s).where("tenant_id = 2"))
+        seen = one.query(OWNED).count()
+    return s.spark.createDataFrame([(1, n)] if n == seen else [], "tenant_id long, n long")
+
+
+@query("session_update", f"SELECT id, tenant_id, CASE WHEN tenant_id = 1 AND id > 20 THEN 'set' ELSE value END AS value FROM ({OWNED_SQL})")
+def _(s: Session) -> DataFrame:
+    """A tenant's set-based update in a transaction changes what that session staged, and no other tenant's rows."""
+    s = stored(s, OWNED)
+    s.insert(OWNED, _owned(s).where("tenant_id <> 1"))
+    one = s.with_tenant(1)
+    with one.transaction():
+        one.insert(OWNED, _owned(s).where("tenant_id = 1"))
+        one.query(OWNED).where("id > {}", 20).set("value", "set").update()
+    return s.all(OWNED)
+
+
+@query("session_update_rows", "SELECT * REPLACE (CASE WHEN c_custkey % 4 = 1 THEN c_custkey * 1.0::DOUBLE ELSE c_acctbal END AS c_acctbal, CASE WHEN c_custkey % 4 = 1 THEN 'changed' ELSE c_name END AS c_name) FROM customer")
+def _(s: Session) -> DataFrame:
+    """A table of several parts, of which those that hold changed keys are written anew."""
+    s = stored(s, STORED)
+    for k in range(3):
+        s.insert(STORED, s.frame(t.CUSTOMER).where(F.col("c_custkey") % 3 == k))
+    s.update_rows(STORED, _delta(s, 4, 1))
+    return s.all(STORED)
+
+
+@query("session_version", f"SELECT * REPLACE (CASE WHEN c_custkey % 4 = 1 THEN 'changed' ELSE c_name END AS c_name, CASE WHEN c_custkey % 4 = 1 THEN c_custkey * 1.0::DOUBLE ELSE c_acctbal END AS c_acctbal, CASE WHEN c_custkey % 4 = 1 THEN version + 1 ELSE version END AS version) FROM {CV}")
+def _(s: Session) -> DataFrame:
+    """Rows in their version are updated and count on; a second update with a stale version changes nothing."""
+    s = stored(s, STORED_V)
+    s.insert(STORED_V, s.frame(t.CUSTOMER_V))
+    delta = _delta(s, 4, 1).withColumn("version", F.col("c_custkey") % 3)
+    s.update_rows(STORED_V, delta)
+    try:
+        s.update_rows(STORED_V, delta.withColumn("c_name", F.lit("stale")))
+    except VersionConflict:
+        pass
+    return s.all(STORED_V)
+
+
+@query("session_delete", "SELECT c_custkey, c_custkey % 5 = 0 AS gone FROM customer")
+def _(s: Session) -> DataFrame:
+    """Soft deletes by session: marked once, and hidden from the default filters."""
+    s = stored(s, SOFT_CUSTOMER)
+    s.insert(SOFT_CUSTOMER, s.frame(t.CUSTOMER))
+    keys = s.frame(t.CUSTOMER).where("c_custkey % 5 = 0").select("c_custkey")
+    n, again = s.delete_rows(SOFT_CUSTOMER, keys), s.delete_rows(SOFT_CUSTOMER, keys)
+    live = s.all(SOFT_CUSTOMER).select("c_custkey", F.lit(False).alias("gone"))
+    return live.unionByName(s.ignore_filters().all(SOFT_CUSTOMER).where("deleted_at IS NOT NULL").select("c_custkey", F.lit(n > 0 and again == 0).alias("gone")))
+
+
+@query("session_delete_hard", "SELECT * FROM customer WHERE c_custkey % 5 <> 0")
+def _(s: Session) -> DataFrame:
+    s = stored(s, STORED)
+    s.insert(STORED, s.frame(t.CUSTOMER).where("c_custkey < 100"))
+    s.insert(STORED, s.frame(t.CUSTOMER).where("c_custkey >= 100"))
+    s.delete_rows(STORED, s.frame(t.CUSTOMER).where("c_custkey % 5 = 0").select("c_custkey"))
+    return s.all(STORED)
+
+
+@query("session_save", UPSERT_SQL)
+def _(s: Session) -> DataFrame:
+    s = stored(s, STORED)
+    s.insert(STORED, s.frame(t.CUSTOMER))
+    s.save(STORED, _mixed(s))
+    return s.all(STORED)
+
+
+@query("session_seed", UPSERT_SQL)
+def _(s: Session) -> DataFrame:
+    s = stored(s, STORED)
+    s.seed(STORED, s.frame(t.CUSTOMER))
+    for _ in range(2):
+        s.seed(STORED, _mixed(s))
+    return s.all(STORED)
+
+
+@query("session_bulk_insert", "SELECT * FROM orders")
+def _(s: Session) -> DataFrame:
+    """Bulk insert, in several parts that are then made one."""
+    s = stored(s, STORED_ORDERS)
+    for k in range(2):
+        s.insert(STORED_ORDERS, s.frame(t.ORDERS).where(F.col("o_orderkey") % 2 == k))
+    s.store().compact(STORED_ORDERS)
+    return s.all(STORED_ORDERS)
+
+
+@query("session_insert_values", "SELECT * FROM (VALUES (1, 'a'), (2, 'b'), (3, 'c')) AS v(id, name)")
+def _(s: Session) -> DataFrame:
+    s = stored(s, NAMES)
+    s.insert(NAMES, [{"name": "a"}])
+    s.insert(NAMES, [{"name": "b"}, {"name": "c"}])
+    return s.all(NAMES)
+
+
+@query("savepoint", "SELECT n_nationkey AS id, n_name AS name FROM nation WHERE n_nationkey BETWEEN 1 AND 9")
+def _(s: Session) -> DataFrame:
+    """What follows a savepoint is rolled back; what comes before it is committed."""
+    s, rows = stored(s, NAMES), s.frame(t.NATION).select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"))
+    with s.transaction() as work:
+        s.seed(NAMES, rows.where("id BETWEEN 1 AND 9"))
+        work.savepoint("first")
+        s.seed(NAMES, rows.where("id > 9"))
+        work.rollback_to("first")
+    return s.all(NAMES)
+
+
+@query("rolled_back", "SELECT n_nationkey AS id, n_name AS name FROM nation WHERE n_nationkey = 3")
+def _(s: Session) -> DataFrame:
+    """A rule broken by one row of an insert leaves the table as it was."""
+    s, rows = stored(s, NAMES), s.frame(t.NATION).select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"))
+    s.seed(NAMES, rows.where("id = 3"))
+    try:
+        with s.transaction():
+            s.seed(NAMES, rows.where("id > 3"))
+            s.save(NAMES, rows.where("id > 4").union(rows.where("id > 20")))
+    except ConstraintError:
+        pass
+    return s.all(NAMES)
+
+
+@query("read_replica", "SELECT * FROM orders WHERE o_orderkey % 2 = 0")
+def _(s: Session) -> DataFrame:
+    """A query for reading holds to the pinned snapshot while the table goes on."""
+    s = stored(s, STORED_ORDERS)
+    s.insert(STORED_ORDERS, s.frame(t.ORDERS).where("o_orderkey % 2 = 0"))
+    s.pin("replica")
+    s.insert(STORED_ORDERS, s.frame(t.ORDERS).where("o_orderkey % 2 = 1"))
+    return s.query(STORED_ORDERS).for_read().df()
+
+
+@query("page_one_snapshot", "SELECT count(*) AS n, CAST(10 AS BIGINT) AS page_rows FROM orders WHERE o_orderkey % 2 = 0")
+def _(s: Session) -> DataFrame:
+    """Page and total, planned before a commit, tell of the same snapshot after it."""
+    s = stored(s, STORED_ORDERS)
+    s.insert(STORED_ORDERS, s.frame(t.ORDERS).where("o_orderkey % 2 = 0"))
+    rows, total = s.query(STORED_ORDERS).page(10)
+    s.insert(STORED_ORDERS, s.frame(t.ORDERS).where("o_orderkey % 2 = 1"))
+    return s.spark.createDataFrame([(total.first()["n"], rows.where("o_orderkey % 2 = 0").count())], "n long, page_rows long")
+
+
+@query("cached_across_commits", "SELECT count(*) AS n FROM region")
+def _(s: Session) -> DataFrame:
+    """A cached result isn't used once the table has changed."""
+    s, rows = stored(s, NAMES), s.frame(t.REGION).select((F.col("r_regionkey") + 1).cast("long").alias("id"), F.col("r_name").alias("name"))
+    s.seed(NAMES, rows.where("id < 3"))
+    s.query(NAMES).cached("names").to_list()
+    s.seed(NAMES, rows.where("id >= 3"))
+    return s.spark.createDataFrame([(len(s.query(NAMES).cached("names").to_list()),)], "n long")
+
+
+@query("stamped_and_computed", "SELECT s_suppkey AS id, concat(s_name, '!') AS label, true AS stamped FROM supplier")
+def _(s: Session) -> DataFrame:
+    """Stamps are now, in UTC; computed columns follow their expression."""
+    made = Entity("made", (Col("id", "long", key=True), Col("name"), Col("label", computed="concat(name, '!')"), Col("made", "timestamp", stamp=True)))
+    s = stored(s, made)
+    s.insert(made, s.frame(t.SUPPLIER).select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")))
+    age = F.unix_timestamp(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone())) - F.unix_timestamp(F.col("made").cast("timestamp"))
+    return s.all(made).select("id", "label", F.abs(age).between(0, 3600).alias("stamped"))
+
+
+@query("reserved_words", "SELECT n_nationkey AS id, n_name AS \"select\" FROM nation WHERE n_nationkey > 4")
+def _(s: Session) -> DataFrame:
+    order = Entity("order", (Col("id", "long", key=True), Col("select")))
+    s = stored(s, order)
+    s.insert(order, s.frame(t.NATION).select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("select")))
+    return s.query(order).where("`order`.`id` > {}", 4).order_by("select").df()
+
+
+@query("naming_snake", "SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey IN (1, 2)")
+def _(s: Session) -> DataFrame:
+    """An entity declared in another style, under the naming option; properties keep their names in queries."""
+    nation = Entity("Nation", (Col("NNationkey", "int", key=True), Col("NName"), Col("NRegionkey", "int")))
+    snake = Session(s.spark, s.catalog, Options(naming="snake"))
+    return snake.query(nation).where_in("NRegionkey", [1, 2]).order_by("NNationkey").df()
+
+
+# --- terminals and the rest of a session, as rows
+
+query("to_list", "SELECT * FROM nation WHERE n_regionkey = 2")(lambda s: s.spark.createDataFrame(s.query(t.NATION).where("n_regionkey = {}", 2).to_list(), t.NATION.schema()))
+query("rows_streamed", "SELECT * FROM nation WHERE n_nationkey >= 7")(lambda s: s.spark.createDataFrame(list(s.rows("SELECT * FROM n WHERE n_nationkey >= {}", 7, n=t.NATION)), t.NATION.schema()))
+query("sql_first", "SELECT * FROM region ORDER BY r_regionkey DESC LIMIT 1")(lambda s: s.spark.createDataFrame([s.sql_first("SELECT * FROM r ORDER BY r_regionkey DESC", r=t.REGION)], t.REGION.schema()))
+query("sql_single", "SELECT * FROM region WHERE r_regionkey = 2")(lambda s: s.spark.createDataFrame([s.sql_single("SELECT * FROM r WHERE r_regionkey = {}", 2, r=t.REGION)], t.REGION.schema()))
+query("scalar_default", "SELECT -1 AS n, (SELECT max(o_orderkey) FROM orders) AS greatest")(
+    lambda s: s.spark.createDataFrame([(s.scalar("SELECT max(o_orderkey) FROM o WHERE o_orderkey < {}", -5, default=-1, o=t.ORDERS), s.scalar("SELECT max(o_orderkey) FROM o", o=t.ORDERS))], "n int, greatest long")
+)
+query("count_taken", "SELECT count(*) AS n FROM (SELECT 1 FROM orders LIMIT 40 OFFSET 7)")(lambda s: s.query(t.ORDERS).order_by("o_orderkey").take(40).skip(7).count_df())
+query("in_memory_rows", "SELECT * FROM (VALUES (1, 'x'), (2, NULL)) AS v(id, name) WHERE name IS NULL OR id = 1")(lambda s: _in_memory(s).query(NAMES).where("name IS NULL").or_where("id = {}", 1).df())
+query("filter_joined", f"SELECT l.* FROM lineitem l JOIN {SD} o ON l.l_orderkey = o.o_orderkey AND o.deleted_at IS NULL WHERE l.l_quantity > 40")(
+    lambda s: s.query(t.LINEITEM).include(t.ORDERS_SD, "l_orderkey").where("l_quantity > {}", 40).filter_joined().df()
+)
+query("filter_joined_tenant", f"SELECT c.* FROM customer c LEFT JOIN {EV} e ON e.user_id = c.c_custkey AND e.value > 90 AND e.tenant_id = 2")(
+    lambda s: s.with_tenant(2).query(t.CUSTOMER).left_join(t.EVENTS_T, "events_t.user_id = customer.c_custkey AND events_t.value > {}", 90).filter_joined().df()
+)
+query("cte_literal", "WITH named AS (SELECT * FROM region WHERE r_name <> ':p0' AND r_regionkey > 0) SELECT * FROM named WHERE r_regionkey < 4")(
+    lambda s: s.query(t.REGION).where("r_regionkey < {}", 4).with_cte("named", s.query(t.REGION).where("r_name <> ':p0'").where("r_regionkey > {}", 0)).df()
+)
+query("cte_of_cte", "SELECT * FROM orders WHERE o_totalprice > 50000 AND o_orderstatus = 'O' AND o_orderkey < 900")(
+    lambda s: s.query(t.ORDERS).with_cte("b", s.query(t.ORDERS).with_cte("a", s.query(t.ORDERS).where("o_totalprice > {}", 50000)).where("o_orderstatus = {}", "O")).where("o_orderkey < {}", 900).df()
+)
+query("where_in_long", "SELECT * FROM orders WHERE o_orderkey IN (SELECT 3 * i FROM range(900) AS r(i))")(lambda s: s.query(t.ORDERS).where_in("o_orderkey", [3 * k for k in range(900)]).df())
+query("where_not_in_long", "SELECT * FROM orders WHERE o_orderkey NOT IN (SELECT 3 * i FROM range(900) AS r(i))")(lambda s: s.query(t.ORDERS).where_not_in("o_orderkey", [3 * k for k in range(900)]).df())
+query("raw_fragment", "SELECT * FROM part ORDER BY p_size DESC, p_partkey LIMIT 15")(lambda s: s.query(t.PART).raw("ORDER BY p_size DESC, p_partkey LIMIT 15").df())
+query("property_names", "SELECT s_suppkey, s_name FROM supplier WHERE s_nationkey = 3 AND s_acctbal > 0")(lambda s: _suppliers(s))
+query("join_broadcast", JOIN_SQL)(lambda s: s.sql(f"SELECT /*+ BROADCAST(c) */ {JOINED}", "BUILDING", o=t.ORDERS, c=t.CUSTOMER))
+query("join_merge", JOIN_SQL)(lambda s: s.sql(f"SELECT /*+ MERGE(c) */ {JOINED}", "BUILDING", o=t.ORDERS, c=t.CUSTOMER))
+query("join_shuffle_hash", JOIN_SQL)(lambda s: s.sql(f"SELECT /*+ SHUFFLE_HASH(c) */ {JOINED}", "BUILDING", o=t.ORDERS, c=t.CUSTOMER))
+TYPED = "SELECT true AS flag, 7 AS whole, 'it''s {x}' AS words, TIMESTAMP '2024-02-29 12:30:00' AS at, DATE '2024-02-29' AS day, CAST(12.5 AS DECIMAL(18,6)) AS money, 2.5::DOUBLE AS share, n_name FROM nation WHERE n_name <> '' AND n_nationkey < 3"
+query("typed_args", TYPED)(
+    lambda s: s.sql(
+        "SELECT {0} AS flag, {1} AS whole, {2} AS words, {3} AS at, {4} AS day, CAST({5} AS DECIMAL(18,6)) AS money, {6} AS share, n_name FROM n WHERE n_name <> {7} AND n_nationkey < {8}",
+        True, 7, "it's {x}", dt.datetime(2024, 2, 29, 12, 30), dt.date(2024, 2, 29), Decimal("12.5"), 2.5, "", 3, n=t.NATION,
+    ).withColumn("at", F.col("at").cast("timestamp_ntz"))
+)
+
+
+def _in_memory(s: Session) -> Session:
+    s.catalog.frame(NAMES, s.spark.createDataFrame([(1, "x"), (2, None), (3, "y")], "id long, name string"))
+    return s
+
+
+def _suppliers(s: Session) -> DataFrame:
+    """Properties under names of their own, over a table's columns."""
+    named = Entity("supplier_named", (Col("s_suppkey", "long", prop="Key", key=True), Col("s_name", prop="Name"), Col("s_nationkey", "int", prop="Nation"), Col("s_acctbal", "double", prop="Balance")))
+    s.catalog.register(named, lambda session, _: session.frame(t.SUPPLIER))
+    return s.query(named).where_in("Nation", [3]).where("s_acctbal > {}", 0).select("Key", "Name").order_by("Balance").df()
+
+
 # --- types
 
 JSON_EVENTS = Entity("json_events", (Col("event_id", "long", key=True), Col("props", "string", json=StructType([StructField("k", LongType())]))))
-query("json_roundtrip", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")(
-    lambda s: from_stored(to_stored(from_stored(s.frame(t.EVENTS).select("event_id", "props"), JSON_EVENTS), JSON_EVENTS), JSON_EVENTS).select("event_id", F.col("props.k").alias("k"))
-)
+
+
+@query("json_roundtrip", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def _(s: Session) -> DataFrame:
+    """Structs go in, JSON text is stored, structs come out."""
+    s = stored(s, JSON_EVENTS)
+    s.insert(JSON_EVENTS, s.frame(t.EVENTS).select("event_id", F.from_json("props", "k long").alias("props")))
+    return s.all(JSON_EVENTS).select("event_id", F.col("props.k").alias("k"))
+
+
 CENTS = Entity("cents", (Col("s_suppkey", "long", key=True), Col("s_acctbal", "double", converter=EURO)))
-query("converter_roundtrip", "SELECT s_suppkey, CAST(s_suppkey * 7 AS DOUBLE) AS s_acctbal FROM supplier")(
-    lambda s: from_stored(to_stored(s.frame(t.SUPPLIER).select("s_suppkey", (F.col("s_suppkey") * 7.0).alias("s_acctbal")), CENTS), CENTS)
-)
+
+
+@query("converter_roundtrip", "SELECT s_suppkey, CAST(s_suppkey * 7 AS DOUBLE) AS s_acctbal FROM supplier")
+def _(s: Session) -> DataFrame:
+    s = stored(s, CENTS)
+    s.insert(CENTS, s.frame(t.SUPPLIER).select("s_suppkey", (F.col("s_suppkey") * 7.0).alias("s_acctbal")))
+    return s.all(CENTS)
+
+
+@query("converter_stored", "SELECT s_suppkey, CAST(s_suppkey * 700 AS DOUBLE) AS s_acctbal FROM supplier")
+def _(s: Session) -> DataFrame:
+    """What the store holds, and what a converted value that is set or sought becomes."""
+    s = stored(s, CENTS)
+    s.insert(CENTS, s.frame(t.SUPPLIER).select("s_suppkey", F.lit(1.0).alias("s_acctbal")))
+    s.update_rows(CENTS, s.frame(t.SUPPLIER).select("s_suppkey", (F.col("s_suppkey") * 7.0).alias("s_acctbal")))
+    s.query(CENTS).where_in("s_acctbal", [7.0]).set("s_acctbal", 7.0).update()
+    return s.frame(CENTS)
+
+
 BRANDED = Entity("branded", (Col("p_partkey", "long", key=True), Col("p_name"), Col("p_brand"), Col("label", computed="concat(p_brand, '/', p_name)")))
 query("computed_column", "SELECT p_partkey, p_name, p_brand, concat(p_brand, '/', p_name) AS label FROM part")(lambda s: to_stored(s.frame(t.PART).select("p_partkey", "p_name", "p_brand"), BRANDED))
 
@@ -293,6 +583,12 @@ query("ext_semi_join", "SELECT * FROM customer WHERE c_custkey IN (SELECT o_cust
     lambda s: s.frame(t.CUSTOMER).join(s.frame(t.ORDERS).where("o_totalprice > 250000"), F.col("c_custkey") == F.col("o_custkey"), "left_semi")
 )
 query("ext_anti_join", "SELECT * FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")(lambda s: s.frame(t.CUSTOMER).join(s.frame(t.ORDERS), F.col("c_custkey") == F.col("o_custkey"), "left_anti"))
+query("ext_except_some", "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 150000")(
+    lambda s: s.frame(t.CUSTOMER).select("c_custkey").subtract(s.frame(t.ORDERS).where("o_totalprice > 150000").select("o_custkey"))
+)
+query("ext_anti_join_some", "SELECT * FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 150000)")(
+    lambda s: s.frame(t.CUSTOMER).join(s.frame(t.ORDERS).where("o_totalprice > 150000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+)
 query("ext_rollup", "SELECT c_mktsegment, c_nationkey, count(*) AS n FROM customer GROUP BY ROLLUP (c_mktsegment, c_nationkey)")(lambda s: s.frame(t.CUSTOMER).rollup("c_mktsegment", "c_nationkey").agg(F.count("*").alias("n")))
 query("ext_cube", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")(lambda s: s.frame(t.LINEITEM).cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n")))
 query("ext_window_typed", "SELECT o_orderkey, dense_rank() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC) AS r FROM orders")(

@@ -23,7 +23,8 @@ Source = Callable[["Session", "str | int | None"], DataFrame]
 class Catalog:
     """Entities and their sources. Registering publishes a new snapshot of both in one step; readers never see half of one."""
 
-    def __init__(self) -> None:
+    def __init__(self, folder: str = "") -> None:
+        self.folder = folder
         self._lock, self._entries = threading.Lock(), MappingProxyType({})
 
     def register(self, entity: Entity, source: Source, managed: bool = False) -> None:

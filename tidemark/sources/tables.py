@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.entity import Col, Entity
-from tidemark.session import Session
+from tidemark.errors import QueryError
+from tidemark.session import Options, Session
 from tidemark.sources.catalog import Catalog
 
 
@@ -35,7 +39,8 @@ CUSTOMER_V = Entity("customer_v", (*CUSTOMER.columns, Col("version", "long", ver
 
 def open_tables(spark: SparkSession, sf_dir: str) -> Session:
     """A session over the Parquet files of one directory."""
-    catalog, at = Catalog(), sf_dir.rstrip("/")
+    at = sf_dir.rstrip("/")
+    catalog = Catalog(at)
     for e in PLAIN:
         catalog.parquet(e, f"{at}/{e.table}.parquet")
     read = lambda e: spark.read.parquet(f"{at}/{e.table}.parquet")
@@ -43,3 +48,23 @@ def open_tables(spark: SparkSession, sf_dir: str) -> Session:
     catalog.register(EVENTS_T, lambda *_: read(EVENTS).withColumn("tenant_id", F.col("user_id") % 5))
     catalog.register(CUSTOMER_V, lambda *_: read(CUSTOMER).withColumn("version", F.col("c_custkey") % 3))
     return Session(spark, catalog)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: under spark.checkpoint.dir, or a local one where a local master has none."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise QueryError("spark.checkpoint.dir names no folder that driver and executors share")
+        shared = tempfile.mkdtemp(prefix="spark-")
+    return f"{shared.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+
+
+def open_store(spark: SparkSession, sf_dir: str, *managed: Entity, **options) -> Session:
+    """A session over the Parquet files and over empty tables of a new store."""
+    catalog = open_tables(spark, sf_dir).catalog
+    session = Session(spark, catalog, Options(store=scratch(spark), **options))
+    for e in managed:
+        session.managed(e)
+    session.migrate()
+    return session
