@@ -3,6 +3,10 @@ sorted hash arrays, one model for each language.
 
 Counts cover every document. Tasks count the n-grams of the highest order in numpy and Spark adds them up; the lower
 orders' continuation counts, discounts and context weights are groupings of that table.
+
+Scoring asks for no more than the shares of the distinct n-grams that occur. They are worked out in parts that meet the
+model's parts in a shuffle. The most frequent ones, a number with a bound, are broadcast as one sorted array; whatever a
+text holds beyond those is joined by its hash. So neither the driver nor a task holds what grows with the corpus.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.llm.common import batch_of, cut, in_steps, stored, texts_of
 from tidemark.llm.textblock import TextBlock, group_ids, mix
@@ -22,9 +27,11 @@ ORDER = 5
 START = "\x02"
 #: Distinct n-grams that a counting task holds before it passes them on to Spark's sums.
 HELD = 2_000_000
-#: Entries of the model that are broadcast at once (12 bytes each). A larger model is split by the two characters
-#: before the predicted one, which decide all its entries of order 3 and up; the texts are then read once a part.
-PART_ENTRIES = 8_000_000
+#: Entries of the model that one task holds at once. A larger model is split by the two characters before the predicted
+#: one, which decide all its entries of order 3 and up; the few of orders 1 and 2 go to every part.
+PART_ENTRIES = 1_000_000
+#: n-grams whose shares are broadcast, the most frequent first; 16 bytes each.
+HEAD = 3_000_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0x2545F4914F6CDD1D)
 
@@ -120,19 +127,22 @@ def fit(docs: DataFrame, order: int = ORDER) -> DataFrame:
     Kind n in 1 to ``order``: the discounted share of an n-gram under its context. Kind -n: the weight that the context
     of an n-gram hands down to order n - 1. Kind 0: the share of each character that no n-gram knows.
     """
-    return fit_counts(count_grams(docs, order), order)
+    return fit_counts(stored(count_grams(docs, order), "grams"), order)
 
 
 def fit_counts(counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """The model of these rows (lang, gram, c)."""
-    counts, parts = stored(counts, "grams"), []
+    """The model of these rows (lang, gram, c), a stored table. Each order takes one shuffle, by language and context:
+    no context has more rows than there are characters. The few discounts are broadcast: a row for each language."""
+    parts = []
     for n in range(order, 0, -1):
         taken = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-        cut_down = counts.join(_discounts(counts), "lang").withColumn("taken", taken).withColumn("context", F.substring("gram", 1, n - 1))
-        contexts = cut_down.groupBy("lang", "context").agg(F.sum("c").alias("total"), F.sum("taken").alias("freed"))
-        share = (F.greatest(F.col("c") - F.col("taken"), F.lit(0.0)) / F.col("total")).alias("value")
-        parts.append(cut_down.join(contexts, ["lang", "context"]).select("lang", F.lit(n).alias("kind"), "gram", share))
-        parts.append(contexts.select("lang", F.lit(-n).alias("kind"), F.col("context").alias("gram"), (F.col("freed") / F.col("total")).alias("value")))
+        cut_down = counts.join(F.broadcast(_discounts(counts)), "lang").withColumn("taken", taken).withColumn("context", F.substring("gram", 1, n - 1))
+        alike = Window.partitionBy("lang", "context")
+        totals = cut_down.select("lang", "gram", "context", "c", "taken", F.sum("c").over(alike).alias("total"), F.sum("taken").over(alike).alias("freed"), F.row_number().over(alike.orderBy("gram")).alias("place"))
+        entry = lambda kind, gram, value: F.struct(F.lit(kind).alias("kind"), F.col(gram).alias("gram"), value.alias("value"))
+        share = entry(n, "gram", F.greatest(F.col("c") - F.col("taken"), F.lit(0.0)) / F.col("total"))
+        weight = entry(-n, "context", F.col("freed") / F.col("total"))
+        parts.append(totals.select("lang", F.inline(F.when(F.col("place") == 1, F.array(share, weight)).otherwise(F.array(share)))))
         if n == 1:
             parts.append(counts.groupBy("lang").agg((1 / (F.count("*") + 1.0)).alias("value")).select("lang", F.lit(0).alias("kind"), F.lit("").alias("gram"), "value"))
         else:  # an n-gram's continuation count: the distinct characters seen before it
@@ -161,8 +171,14 @@ class HashArrays:
         return np.where(keys[at] == key, values[at], missing)
 
 
-def hashed(model: DataFrame) -> DataFrame:
-    """Rows (kind, key, value) of a stored model, hashed as the scorer hashes."""
+def _points(grams: pa.Array, size: int) -> list[np.ndarray]:
+    """The code points of texts of ``size`` characters each, by place."""
+    flat = np.frombuffer("".join(grams.to_pylist()).encode("utf-32-le"), np.uint32) if size else np.zeros(0, np.uint32)
+    return [flat[i::size] for i in range(size)]
+
+
+def hashed(model: DataFrame, *more: str) -> DataFrame:
+    """Rows (kind, key, value) of a stored model, hashed as the scorer hashes; columns of ``more`` (numbers) go along."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,11 +186,10 @@ def hashed(model: DataFrame) -> DataFrame:
             grams, key = batch.column(2), np.zeros(batch.num_rows, np.uint64)
             for k in np.unique(kind):
                 size, mine = (int(k) if k > 0 else max(-int(k) - 1, 0)), np.flatnonzero(kind == k)
-                points = np.frombuffer("".join(grams.take(pa.array(mine)).to_pylist()).encode("utf-32-le"), np.uint32).reshape(len(mine), size) if size else np.zeros((len(mine), 0), np.uint32)
-                key[mine] = gram_hash([points[:, i] for i in range(size)], lang[mine])
-            yield batch_of(kind=batch.column(1), key=pa.array(key.view(np.int64)), value=batch.column(3))
+                key[mine] = gram_hash(_points(grams.take(pa.array(mine)), size), lang[mine])
+            yield batch_of(kind=batch.column(1), key=pa.array(key.view(np.int64)), value=batch.column(3), **{n: batch.column(4 + i) for i, n in enumerate(more)})
 
-    return model.select("lang", "kind", "gram", "value").mapInArrow(run, "kind int, key long, value double")
+    return model.select("lang", "kind", "gram", "value", *more).mapInArrow(run, "kind int, key long, value double" + "".join(f", {n} int" for n in more))
 
 
 def _part_of(model: DataFrame, parts: int) -> Column:
@@ -184,7 +199,8 @@ def _part_of(model: DataFrame, parts: int) -> Column:
 
 
 def model_parts(model: DataFrame, part_entries: int = PART_ENTRIES) -> Iterator[tuple[HashArrays, int, int]]:
-    """(arrays, part number, parts): each part's arrays hold about ``part_entries`` entries beside those of orders 1 and 2."""
+    """For a look at a small model from the driver: (arrays, part number, parts); each part's arrays hold about
+    ``part_entries`` entries beside those of orders 1 and 2. Scoring a corpus goes by ``shares_of``."""
     large = F.col("kind").between(-2, 2)
     parts = max(1, -(-model.where(~large).count() // part_entries))
     for k in range(parts):
@@ -193,6 +209,15 @@ def model_parts(model: DataFrame, part_entries: int = PART_ENTRIES) -> Iterator[
         yield HashArrays(rows["kind"].to_numpy(), rows["key"].to_numpy().view(np.uint64), rows["value"].to_numpy()), k, parts
 
 
+def _shares(arrays: HashArrays, back: list[np.ndarray], lang: np.ndarray) -> np.ndarray:
+    """Log shares of n-grams given by place, the predicted character first and the oldest last."""
+    share = arrays.get(0, gram_hash([], lang), 1e-6)
+    for n in range(1, len(back) + 1):
+        gram = [back[k] for k in range(n - 1, -1, -1)]
+        share = arrays.get(n, gram_hash(gram, lang), 0.0) + arrays.get(-n, gram_hash(gram[:-1], lang), 1.0) * share
+    return np.log(np.maximum(share, 1e-12))
+
+
 def log_shares(arrays: HashArrays, padded: np.ndarray, place: np.ndarray, lang: np.ndarray, order: int = ORDER, part: tuple[int, int] = (0, 1)) -> np.ndarray:
     """Log share of each real character given the order - 1 before it; 0 where another part of the model decides it."""
     if not len(place):
@@ -200,12 +225,8 @@ def log_shares(arrays: HashArrays, padded: np.ndarray, place: np.ndarray, lang:
     codes, distinct = group_ids(_quick(padded, place, lang, order))
     at = np.zeros(len(distinct), np.int64)
     at[codes[::-1]] = np.arange(len(codes))[::-1]
-    back, of = [padded[place[at] - k] for k in range(order)], lang[at]
-    share = arrays.get(0, gram_hash([], of), 1e-6)
-    for n in range(1, order + 1):
-        gram = [back[k] for k in range(n - 1, -1, -1)]
-        share = arrays.get(n, gram_hash(gram, of), 0.0) + arrays.get(-n, gram_hash(gram[:-1], of), 1.0) * share
-    value = np.log(np.maximum(share, 1e-12))
+    back = [padded[place[at] - k] for k in range(order)]
+    value = _shares(arrays, back, lang[at])
     if part[1] > 1:
         import zlib
 
@@ -214,3 +235,55 @@ def log_shares(arrays: HashArrays, padded: np.ndarray, place: np.ndarray, lang:
         owner = np.array([zlib.crc32((chr(a) + chr(b)).encode()) % part[1] for a, b in kinds.tolist()])
         value = np.where(owner[which.ravel()] == part[0], value, 0.0)
     return value[codes]
+
+
+def shares_of(model: DataFrame, wanted: DataFrame, part_entries: int = PART_ENTRIES, order: int = ORDER) -> DataFrame:
+    """Rows (key, value, c), stored: the log share of each n-gram of ``wanted`` (judge, gram, c) under the model named
+    ``judge``, by the hash that ``score`` looks for. Each part of n-grams meets its part of the model in one task."""
+    large = F.col("kind").between(-2, 2)
+    parts = max(1, -(-model.where(~large).count() // part_entries))
+    everywhere = model.where(large).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    dealt = hashed(model.where(~large).withColumn("part", _part_of(model, parts).cast("int")).unionByName(everywhere), "part")
+    pair = F.substring("gram", order - 2, 2)
+    asked = wanted.select("judge", "gram", "c", F.pmod(F.crc32(F.encode(pair, "UTF-8")), F.lit(parts)).cast("int").alias("part"))
+
+    def work(entries: pa.Table, grams: pa.Table) -> pa.Table:
+        arrays = HashArrays(entries["kind"].to_numpy(), entries["key"].to_numpy().view(np.uint64), entries["value"].to_numpy())
+        keys, values = [np.zeros(0, np.uint64)], [np.zeros(0)]
+        for batch in grams.to_batches():
+            lang = lang_hashes(batch.column(0))
+            by_place = _points(batch.column(1), order)
+            padded = np.stack(by_place, axis=1).ravel()
+            keys.append(_quick(padded, np.arange(len(lang)) * order + order - 1, lang, order))
+            values.append(_shares(arrays, by_place[::-1], lang))
+        return pa.table({"key": np.concatenate(keys).view(np.int64), "value": np.concatenate(values).astype(np.float32), "c": grams["c"]})
+
+    return stored(dealt.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(work, "key long, value float, c long"), "shares")
+
+
+def head_of(shares: DataFrame, most: int = HEAD) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Sorted keys and values of the most frequent n-grams, ``most`` at most, and whether those are all. The bar that
+    they pass is the least power of two that leaves few enough."""
+    bars = [1 << k for k in range(41)]
+    n = shares.agg(*[F.sum((F.col("c") >= b).cast("long")).alias(f"n{k}") for k, b in enumerate(bars)]).first()
+    at = next((k for k in range(41) if (n[k] or 0) <= most), 40)
+    rows = shares.where(F.col("c") >= bars[at]).select("key", "value").toArrow()
+    key, value = rows["key"].to_numpy().view(np.uint64), rows["value"].to_numpy()
+    order = np.argsort(key)
+    return key[order], value[order], at == 0
+
+
+def look_up(head: tuple[np.ndarray, np.ndarray], padded: np.ndarray, place: np.ndarray, doc: np.ndarray, lang: np.ndarray, n: int, order: int = ORDER) -> tuple[np.ndarray, tuple]:
+    """By text, the sum of its characters' log shares as far as the head tells them; and the n-grams that it doesn't hold,
+    as (text number, key, times), by text."""
+    if not len(place):
+        return np.zeros(n), (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    keys, values = head
+    codes, distinct = group_ids(_quick(padded, place, lang, order))
+    at = np.minimum(np.searchsorted(keys, distinct), max(len(keys) - 1, 0))
+    known = keys[at] == distinct if len(keys) else np.zeros(len(distinct), bool)
+    share = np.where(known, values[at], 0.0) if len(keys) else np.zeros(len(distinct))
+    total = np.bincount(doc, weights=share[codes], minlength=n)
+    beyond = np.flatnonzero(~known[codes])
+    pair, times = np.unique(np.stack([doc[beyond], codes[beyond]], axis=1), axis=0, return_counts=True)
+    return total, (pair[:, 0], distinct[pair[:, 1]], times)

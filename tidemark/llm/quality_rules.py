@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import kneser_ney as kn
@@ -81,52 +81,58 @@ def rare_languages(halves: DataFrame, least: int = LEAST_TEXTS) -> DataFrame:
     return cut(found.where(F.col("n") < least).select("lang"))
 
 
-def fit(halves: DataFrame, pooled: bool) -> DataFrame:
-    """A model of each language in each half, named 0 or 1 and the language; if ``pooled``, also of all languages in
-    each half, named 2 or 3."""
-    counts = kn.count_grams(halves.select("text", F.concat(F.col("half").cast("string"), F.col("lang")).alias("lang")))
+def gram_counts(halves: DataFrame) -> DataFrame:
+    """The stored n-gram counts of each language in each half, named 0 or 1 and the language."""
+    return stored(kn.count_grams(halves.select("text", F.concat(F.col("half").cast("string"), F.col("lang")).alias("lang"))), "grams")
+
+
+def fit(counts: DataFrame, pooled: bool) -> DataFrame:
+    """A model of each language in each half; if ``pooled``, also of all languages in each half, named 2 or 3."""
     if pooled:
-        counts = stored(counts, "grams")
         name = (F.substring("lang", 1, 1).cast("int") + 2).cast("string").alias("lang")
-        counts = counts.unionByName(counts.groupBy(name, "gram").agg(F.sum("c").alias("c")))
+        counts = stored(counts.unionByName(counts.groupBy(name, "gram").agg(F.sum("c").alias("c"))), "grams")
     return kn.fit_counts(counts)
 
 
-def judged_by(halves: DataFrame, rare: DataFrame | None) -> DataFrame:
-    """``halves`` with ``judge``, the name of the model that scores the row: the other half's."""
-    other = 1 - F.col("half")
-    own = F.concat(other.cast("string"), F.col("lang"))
+def judged_by(rows: DataFrame, rare: DataFrame | None, half: Column, lang: Column) -> DataFrame:
+    """``rows`` with ``judge``, the name of the model that scores a text of that half and language: the other half's.
+    ``rare`` has a row for each language of few texts."""
+    other = 1 - half
+    own = F.concat(other.cast("string"), lang)
     if rare is None:
-        return halves.withColumn("judge", own)
-    marked = halves.join(F.broadcast(rare.withColumn("is_rare", F.lit(True))), "lang", "left")
-    return marked.withColumn("judge", F.when(F.col("is_rare"), (other + 2).cast("string")).otherwise(own))
-
-
-def perplexity(docs: DataFrame, model: DataFrame, part_entries: int = kn.PART_ENTRIES) -> DataFrame:
-    """Rows (doc_id, lang, copy, base counts, n_chars, nats): ``nats`` is the negative log share a character under the
-    model that ``judge`` names; null where a text has no character. A stored model in several parts reads the texts once
-    for each part."""
-    context, numbered = docs.sparkSession.sparkContext, docs.select("doc_id", "text", "lang", "copy", "judge", F.monotonically_increasing_id().alias("_row"))
-    schema = "_row long, doc_id long, lang string, copy long, " + ", ".join(f"{k} long" for k in COUNTS) + ", n_chars long, loss double"
-    found = None
-    for arrays, part, parts in kn.model_parts(model, part_entries):
-        shared = context.broadcast(arrays)
-
-        def work(batch: pa.RecordBatch, shared=shared, part=part, parts=parts) -> pa.RecordBatch:
-            texts, judges = texts_of(batch), texts_of(batch, "judge")
-            counts = base_counts(texts) if part == 0 else {k: np.zeros(batch.num_rows, np.int64) for k in COUNTS}
-            padded, place, doc = kn.coded(texts)
-            share = kn.log_shares(shared.value, padded, place, kn.lang_hashes(judges)[doc], part=(part, parts))
-            return batch_of(
-                _row=texts_of(batch, "_row"), doc_id=ids_of(batch), lang=texts_of(batch, "lang"), copy=texts_of(batch, "copy"), **{k: pa.array(counts[k], pa.int64()) for k in COUNTS},
-                n_chars=pa.array(np.bincount(doc, minlength=batch.num_rows), pa.int64()), loss=pa.array(-np.bincount(doc, weights=share, minlength=batch.num_rows)),
-            )
-
-        some = map_steps(numbered, work, schema)
-        found = some if found is None else found.unionByName(some)
-    if parts > 1:
-        found = found.groupBy("_row").agg(*[F.max(c).alias(c) for c in ("doc_id", "lang", "copy", *COUNTS, "n_chars")], F.sum("loss").alias("loss"))
-    return found.withColumn("nats", F.col("loss") / F.nullif(F.col("n_chars"), F.lit(0))).drop("_row", "loss")
+        return rows.withColumn("judge", own)
+    marked = rows.join(F.broadcast(rare.select(F.col("lang").alias("_rare"))), lang == F.col("_rare"), "left")
+    return marked.withColumn("judge", F.when(F.col("_rare").isNotNull(), (other + 2).cast("string")).otherwise(own)).drop("_rare")
+
+
+def perplexity(docs: DataFrame, shares: DataFrame, head: int = kn.HEAD) -> DataFrame:
+    """Rows (doc_id, lang, copy, base counts, n_chars, nats), stored: ``nats`` is the negative log share a character under
+    the model that ``judge`` names; null where a text has no character. ``shares``: those of all n-grams of the texts.
+    The texts are read once; what the broadcast head of the shares doesn't hold of them is joined by hash."""
+    keys, values, whole = kn.head_of(shares, head)
+    shared = docs.sparkSession.sparkContext.broadcast((keys, values))
+    numbered = docs.select("doc_id", "text", "lang", "copy", "judge", F.monotonically_increasing_id().alias("_row"))
+    beyond = pa.list_(pa.struct([("key", pa.int64()), ("n", pa.int64())]))
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts, n = texts_of(batch), batch.num_rows
+        counts = base_counts(texts)
+        padded, place, doc = kn.coded(texts)
+        known, (of, key, times) = kn.look_up(shared.value, padded, place, doc, kn.lang_hashes(texts_of(batch, "judge"))[doc], n)
+        edges = np.searchsorted(of, np.arange(n + 1)).astype(np.int32)
+        rest = pa.ListArray.from_arrays(pa.array(edges), pa.StructArray.from_arrays([pa.array(key.view(np.int64)), pa.array(times.astype(np.int64))], ["key", "n"]))
+        return batch_of(
+            _row=texts_of(batch, "_row"), doc_id=ids_of(batch), lang=texts_of(batch, "lang"), copy=texts_of(batch, "copy"), **{k: pa.array(counts[k], pa.int64()) for k in COUNTS},
+            n_chars=pa.array(np.bincount(doc, minlength=n), pa.int64()), loss=pa.array(-known), beyond=rest.cast(beyond),
+        )
+
+    schema = "_row long, doc_id long, lang string, copy long, " + ", ".join(f"{k} long" for k in COUNTS) + ", n_chars long, loss double, beyond array<struct<key:long,n:long>>"
+    found = stored(map_steps(numbered, work, schema), "perplexity")
+    shared.destroy()
+    if not whole:
+        rest = found.select("_row", F.inline("beyond")).join(shares.select("key", "value"), "key").groupBy("_row").agg(F.sum(F.col("n") * F.col("value")).alias("more"))
+        found = stored(found.drop("beyond").join(rest, "_row", "left").withColumn("loss", F.col("loss") - F.coalesce("more", F.lit(0.0))), "perplexity")
+    return found.withColumn("nats", F.col("loss") / F.nullif(F.col("n_chars"), F.lit(0))).drop("_row", "loss", "beyond", "more")
 
 
 def bands(scored: DataFrame, width: float = WIDTH, least: int = LEAST_TEXTS) -> tuple[DataFrame, DataFrame]:
@@ -149,11 +155,15 @@ def apply_rules(docs: DataFrame, width: float = WIDTH) -> DataFrame:
     docs = in_halves(docs.select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang")))
     rare = rare_languages(docs)
     pooled = not rare.isEmpty()
-    scored = stored(perplexity(judged_by(docs, rare if pooled else None), fit(docs, pooled)), "perplexity")
+    counts = gram_counts(docs)
+    wanted = judged_by(counts, rare if pooled else None, F.substring("lang", 1, 1).cast("int"), F.expr("substring(lang, 2)"))
+    shares = kn.shares_of(fit(counts, pooled), wanted)
+    scored = perplexity(judged_by(docs, rare if pooled else None, F.col("half"), F.col("lang")), shares)
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     own, whole = bands(scored, width)
-    judged = scored.join(F.broadcast(own), "lang", "left").crossJoin(F.broadcast(whole.select(F.col("low").alias("least"), F.col("high").alias("most"))))
-    judged = judged.withColumn("low", F.coalesce("low", "least")).withColumn("high", F.coalesce("high", "most")).withColumn("base_failed", failed)
+    least, most = whole.first()  # two numbers
+    judged = scored.join(F.broadcast(own), "lang", "left")
+    judged = judged.withColumn("low", F.coalesce("low", F.lit(least).cast("double"))).withColumn("high", F.coalesce("high", F.lit(most).cast("double"))).withColumn("base_failed", failed)
     inside = F.coalesce(F.col("nats").between(F.col("low"), F.col("high")), F.lit(False))
     return judged.select("doc_id", *COUNTS, "base_failed", F.exp("nats").alias("perplexity"), F.exp("low").alias("low"), F.exp("high").alias("high"), (~F.col("base_failed") & inside).alias("kept"))
 
