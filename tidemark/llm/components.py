@@ -7,21 +7,34 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut
 
+#: Rows of one key that a shuffle puts into one task as they are. A key with more, and with over a ten-thousandth of all
+#: rows, is a hub: its one row of the other side is broadcast, so there are 10,000 hubs at most.
+FEW, HUBS = 64, 10_000
+
+
+def join_hubs(rows: DataFrame, per_key: DataFrame, key: str, total: int, few: int = FEW) -> DataFrame:
+    """``rows`` joined with the one row that each key has in ``per_key`` (key, n, ...), where n is the number of ``rows``
+    with that key and ``total`` that of all rows. Rows of hubs stay where they are; ``n`` goes. A null key joins nothing."""
+    bar = max(few, total // HUBS)
+    hubs = F.broadcast(per_key.where(F.col("n") > bar))
+    usual = rows.join(hubs.select(key), key, "left_anti").join(per_key.where(F.col("n") <= bar), key)
+    return usual.unionByName(rows.join(hubs, key)).drop("n")
+
 
 def _closest(pairs: DataFrame) -> DataFrame:
-    """(a, m): the least of a and its partners. Aggregated before the shuffle, so a hub is no hot key here."""
-    return pairs.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    """(a, n, m): the number of a's partners and the least of a and them. Aggregated before the shuffle, so a hub is no hot key here."""
+    return cut(pairs.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("m")).select("a", "n", F.least("a", "m").alias("m")))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    return both.join(_closest(both), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return join_hubs(both, _closest(both), "a", 2 * total).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = _closest(down)
-    hung = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    hung = join_hubs(down, least, "a", total).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return hung.unionByName(least.select("a", F.col("m").alias("b")))
 
 
@@ -38,6 +51,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if mark == state or not mark[0]:
             break
         state = mark
-        current = cut(tidy(_small_star(_large_star(current))))
+        current = cut(tidy(_small_star(cut(_large_star(current, mark[0])), mark[0])))
     leaves = current.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return leaves.unionByName(current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -79,7 +79,9 @@ class Rollup:
     """Totals by source, language and tokenizer version in a folder that driver and executors share.
 
     One writer at a time. Each committed batch is a folder ``batch=<name>``; it counts once Spark's own commit has left
-    its _SUCCESS mark, which is the last thing written, so a batch whose writer was lost is written anew on retry.
+    its _SUCCESS mark, which is the last thing written, so a batch whose writer was lost is written anew on retry. A fold
+    is such a batch too, and the names that it took in are written before it: its mark alone puts it in their place, so
+    at whatever step a fold stops, totals are those before or after it, which are the same.
     """
 
     def __init__(self, spark: SparkSession, root: str | None = None):
@@ -90,20 +92,34 @@ class Rollup:
         found = jvm.org.apache.hadoop.fs.Path(path)
         return found, found.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def committed(self) -> list[str]:
-        """Names of committed batches, in the order of their names."""
+    def _marked(self) -> list[str]:
         root, fs = self._path(self.root)
         if not fs.exists(root):
             return []
         names = [s.getPath().getName() for s in fs.listStatus(root)]
         return sorted(n[6:] for n in names if n.startswith("batch=") and fs.exists(self._path(f"{self.root}/{n}/_SUCCESS")[0]))
 
-    def covered(self) -> set[str]:
-        """Names of batches that totals include, those that folding took in too."""
-        names = set(self.committed())
-        for folded in [n for n in names if n.startswith("folded-")]:
-            names |= {r[0] for r in self.spark.read.schema("name string").parquet(f"{self.root}/names/of={folded}").collect()}
-        return names
+    def _taken_in(self, names: list[str]) -> DataFrame | None:
+        """Rows (name) of the batches that the folds among ``names`` took in."""
+        paths = [f"{self.root}/names/of={n}" for n in names if n.startswith("folded-")]
+        return self.spark.read.schema("name string").parquet(*paths) if paths else None
+
+    def committed(self) -> list[str]:
+        """Names of the batches that totals add up, in the order of their names: those that no fold took in."""
+        names = self._marked()
+        taken = self._taken_in(names)
+        if taken is None:
+            return names
+        gone = {r[0] for r in taken.where(F.col("name").isin(names)).collect()}
+        return [n for n in names if n not in gone]
+
+    def covers(self, name: str) -> bool:
+        """Whether totals include the batch, by itself or within a fold."""
+        names = self._marked()
+        if name in names:
+            return True
+        taken = self._taken_in(names)
+        return taken is not None and not taken.where(F.col("name") == name).isEmpty()
 
     def commit(self, name: str, changes: DataFrame) -> bool:
         """Adds up signed ``changes`` (KEYS, tokens, sign) and commits them as batch ``name``. False: it was committed before.
@@ -116,7 +132,7 @@ class Rollup:
 
     def commit_sums(self, name: str, changes: DataFrame) -> bool:
         """As ``commit``, for changes that are signed sums already: (KEYS, documents, tokens)."""
-        if _checked(name) in self.covered():
+        if self.covers(_checked(name)):
             return False
         added = changes.groupBy(*KEYS).agg(*[F.sum(F.col(c).cast("long")).alias(c) for c in TOTALS])
         added.write.mode("overwrite").parquet(f"{self.root}/batch={name}")
@@ -133,38 +149,30 @@ class Rollup:
         return summed.where((F.col("documents") != 0) | (F.col("tokens") != 0))
 
     def fold(self) -> None:
-        """Puts one batch in place of all committed ones. Their names stay known. The new batch is committed before the
-        old ones go; should that be cut short, ``recover`` ends it."""
+        """Puts one batch in place of all committed ones. Their names stay known."""
         names = self.committed()
         if len(names) < 2:
             return
         folded = f"folded-{uuid.uuid4().hex}"
-        known = sorted(self.covered())
-        self.spark.createDataFrame([(n,) for n in [*known, *names]], "name string").coalesce(1).write.parquet(f"{self.root}/names/of={folded}")
-        self.totals().coalesce(1).write.parquet(f"{self.root}/folding={folded}")
-        for n in names:
-            path, fs = self._path(f"{self.root}/batch={n}")
-            fs.rename(path, self._path(f"{self.root}/old={n}")[0])
-        path, fs = self._path(f"{self.root}/folding={folded}")
-        fs.rename(path, self._path(f"{self.root}/batch={folded}")[0])
+        known = self.spark.createDataFrame([(n,) for n in names], "name string")
+        if (before := self._taken_in(names)) is not None:
+            known = known.unionByName(before).distinct()
+        known.write.mode("overwrite").parquet(f"{self.root}/names/of={folded}")
+        self.totals().coalesce(1).write.parquet(f"{self.root}/batch={folded}")
+        self.recover()
 
     def recover(self) -> None:
-        """Ends a fold that was cut short."""
-        root, fs = self._path(self.root)
-        for s in fs.listStatus(root) if fs.exists(root) else []:
-            name = s.getPath().getName()
-            if name.startswith("folding=") and fs.exists(self._path(f"{self.root}/{name}/_SUCCESS")[0]):
-                folded = name[8:]
-                for row in self.spark.read.schema("name string").parquet(f"{self.root}/names/of={folded}").distinct().collect():
-                    old, _ = self._path(f"{self.root}/batch={row[0]}")
-                    if fs.exists(old):
-                        fs.rename(old, self._path(f"{self.root}/old={row[0]}")[0])
-                fs.rename(self._path(f"{self.root}/{name}")[0], self._path(f"{self.root}/batch={folded}")[0])
+        """Removes the folders that a fold has taken the place of; a fold does so itself unless it is cut short."""
+        live = set(self.committed())
+        for name in [n for n in self._marked() if n not in live]:
+            path, fs = self._path(f"{self.root}/batch={name}")
+            fs.delete(path, True)
 
 
 def maintained_totals(docs: DataFrame, root: str | None = None) -> DataFrame:
     """op4's rows. The table comes in under words and BPE counts; then every BPE count is revised to the next version,
-    which counts a document's end id too; the second batch is committed again, to no effect."""
+    which counts a document's end id too; the second batch is committed again, to no effect. Null texts count as empty, a
+    null source or language is a key of its own, repeated rows count again; an empty table gives no rows."""
     rollup = Rollup(docs.sparkSession, root)
     counted = stored(count_tokens(docs, tuple(VERSIONS)), "token-counts")
     version = lambda *names: counted.where(F.col("tokenizer_version").isin(*names))

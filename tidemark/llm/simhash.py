@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import batch_of, cut, ids_of, map_steps, narrow, stored, tasks_for, texts_of
-from tidemark.llm.components import connected_components
+from tidemark.llm.components import connected_components, join_hubs
 from tidemark.llm.textblock import NOT_SPACE, TextBlock
 
 SHINGLE, BITS, SEED = 3, 3, 42
@@ -219,10 +219,10 @@ def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
 
 def _large_links(rows: DataFrame, bits: int) -> DataFrame:
     """Compares the fingerprints of large anchors in pairs of blocks; a pair of blocks has up to twice BLOCK rows."""
-    blocks = rows.groupBy("anchor").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    blocks = cut(rows.groupBy("anchor").agg(F.count("*").alias("n"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
     mine = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = rows.join(blocks, "anchor").withColumn("mine", mine).withColumn("other", other)
+    dealt = join_hubs(rows, blocks, "anchor", blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], BLOCK).withColumn("mine", mine).withColumn("other", other)
     dealt = dealt.select("anchor", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "fp")
 
     def compare(pdf):
@@ -242,19 +242,21 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, bits: int = BITS) -> D
     id null. Repeated rows repeat. An empty table gives no rows; further columns are ignored.
     """
     marked = stored(fingerprints(docs, size), "fingerprints")
-    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")))
+    n, total = distinct.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
     roots = connected_components(links(distinct, bits))
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(names, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    rooted = cut(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    names = rooted.groupBy("root").agg(F.count("*").alias("n"), F.min("least").alias("component_id"))
+    named = join_hubs(rooted, names, "root", n).select("fp", "component_id", F.col("copies").alias("n"))
+    return join_hubs(marked, named, "fp", total).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, size: int = SHINGLE, bits: int = BITS) -> DataFrame:
     """``docs`` with one document of each component: that of the smallest doc_id. Rows that repeat a doc_id count as
     one document; rows without a doc_id can't be told apart from others and stay."""
     gone = near_duplicates(docs, size, bits).where(F.col("doc_id") != F.col("component_id")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    told = docs.where(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return told.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def digest(docs: DataFrame) -> DataFrame:
