@@ -2,15 +2,20 @@
 
 A text is aligned with a license template the way patience diff does it: words that stand once in both are anchors,
 the longest increasing subsequence of them holds, and the gaps between are aligned in the same way. Coverage is the
-share of the template's words that the alignment matches. Only stretches of a text that hold enough of a template's
-words to reach the wanted coverage are aligned, which passes over none that could.
+share of the template's words that the alignment matches; words that the template doesn't have take no part.
+
+A word that a text repeats is no anchor, so a text is aligned in windows: of twice the template's length, overlapping by
+half, then of twice that, and so on to the whole text. How far a find's words may lie apart follows from how many match:
+two words more in common allow about 1.4 times the spread. Five words in order are worth little over a long text, fifty
+prove a license however much stands between them. Windows that hold too few of a template's words are passed over,
+which passes over none that could reach the coverage.
 """
 
 from __future__ import annotations
 
 import bisect
 from collections import Counter
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +28,13 @@ from tidemark.llm.decontaminate import words_of
 COVERAGE = 0.8
 
 # fixed values: public license notices
+_BSD_END = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY"
+    " AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR"
+    " CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY"
+    " OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF"
+    " SUCH DAMAGE."
+)
 TEMPLATES = {
     "Apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
     "GPL-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
@@ -50,6 +62,35 @@ TEMPLATES = {
         " MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with"
         " this program. If not, see <https://www.gnu.org/licenses/>."
     ),
+    "LGPL-2.1-or-later": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either"
+        " version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied"
+        " warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General"
+        " Public License along with this library; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA"
+    ),
+    "AGPL-3.0-or-later": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either"
+        " version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied"
+        " warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details. You should have received a copy of the GNU Affero General"
+        " Public License along with this program. If not, see <https://www.gnu.org/licenses/>."
+    ),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission"
+        " notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY"
+        " AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS,"
+        " WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
+    "BSD-2-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must"
+        " retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of"
+        " conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. " + _BSD_END
+    ),
+    "BSD-3-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must"
+        " retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of"
+        " conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its"
+        " contributors may be used to endorse or promote products derived from this software without specific prior written permission. " + _BSD_END
+    ),
 }
 
 
@@ -99,44 +140,50 @@ class Template:
         self.counts = Counter(self.words)
 
 
-def stretches(places: list[int], letters: list, template: Template, coverage: float) -> list[tuple[int, int]]:
-    """Stretches (first, last + 1) of a text's words that might reach the coverage: ``places`` and ``letters`` are the
-    text's words that the template has. A stretch is up to twice as long as the template, and neighbours overlap by half."""
-    size, need, out, k = len(template.words), coverage * len(template.words), [], 0
-    while k < len(places):
-        end = k
-        seen: Counter = Counter()
-        while end < len(places) and places[end] < places[k] + 2 * size:
-            seen[letters[end]] += 1
-            end += 1
-        if sum(min(n, template.counts[w]) for w, n in seen.items()) >= need - 1e-9:
-            out.append((places[k], places[end - 1] + 1))
-            step = places[k] + size
-            while k < len(places) and places[k] < step:
-                k += 1
-        else:
-            k += 1
-    return out
+def spread(matched: int, size: int) -> float:
+    """Words of a text that a match of so many of a template's ``size`` words may span."""
+    return size * 2.0 ** min(matched / 4, 60)
+
+
+def windows_of(last: int, size: int) -> Iterator[tuple[int, int]]:
+    """The windows (first word, last word + 1) that a text of ``last`` words is aligned in with a template of ``size``: from
+    twice the template's length on, each width twice the one before, until one holds the text or no match may span it."""
+    width = 2 * size
+    while True:
+        yield from ((a, a + width) for a in range(0, max(last - width // 2, 1), width // 2))
+        if width >= last or width >= 2 * spread(size, size):
+            return
+        width *= 2
 
 
 def find_in(words: list, templates: list[Template], coverage: float = COVERAGE) -> list[tuple[str, float, int, int]]:
-    """(template, coverage, first word, last word + 1) of each find in a text's word hashes. Of finds of one template that
-    overlap the best stays; of different templates those stay that aren't inside a find of a longer match."""
+    """(template, coverage, first word, last word + 1) of each find in a text's word hashes."""
+    return find_among(list(range(len(words))), words, len(words), templates, coverage)
+
+
+def find_among(places: list[int], letters: list, last: int, templates: list[Template], coverage: float = COVERAGE) -> list[tuple[str, float, int, int]]:
+    """As ``find_in``, for a text of ``last`` words of which ``letters`` stand at ``places``; the others are in no template.
+    Of finds of one template that overlap the best stays; of different templates those stay that aren't inside a find of
+    more weight: matched words times coverage."""
     found = []
     for t in templates:
-        at = [(k, w) for k, w in enumerate(words) if w in t.counts]
-        if len(at) < coverage * len(t.words):
-            continue
-        mine = []
-        for a, b in stretches([k for k, _ in at], [w for _, w in at], t, coverage):
+        at = [k for k, w in enumerate(letters) if w in t.counts]
+        mine, words = [places[k] for k in at], [letters[k] for k in at]
+        need, matches = coverage * len(t.words) - 1e-9, set()
+        for first, end in windows_of(last, len(t.words)):
+            a, b = bisect.bisect_left(mine, first), bisect.bisect_left(mine, end)
+            if b - a < need or sum(min(n, t.counts[w]) for w, n in Counter(words[a:b]).items()) < need:
+                continue
             match = patience(words[a:b], t.words)
-            if len(match) >= coverage * len(t.words) - 1e-9:
-                mine.append((len(match), a + match[0][0], a + match[-1][0] + 1))
-        for n, a, b in sorted(mine, key=lambda m: (-m[0], m[2] - m[1], m[1])):
+            if len(match) >= need:
+                begin, stop = mine[a + match[0][0]], mine[a + match[-1][0]] + 1
+                if stop - begin <= spread(len(match), len(t.words)):
+                    matches.add((len(match), begin, stop))
+        for n, a, b in sorted(matches, key=lambda m: (-m[0], m[2] - m[1], m[1])):
             if all(b <= c or d <= a for _, name, c, d in found if name == t.name):
                 found.append((n, t.name, a, b))
     size = {t.name: len(t.words) for t in templates}
-    rank = lambda f: (f[0], f[0] / size[f[1]], f[1])
+    rank = lambda f: (f[0] * f[0] / size[f[1]], f[0], f[1])
     kept = [f for f in found if not any(g[2] <= f[2] and f[3] <= g[3] and rank(g) > rank(f) for g in found)]
     return sorted(((name, n / size[name], a, b) for n, name, a, b in kept), key=lambda x: (x[2], x[0]))
 
@@ -169,7 +216,9 @@ def scan(docs: DataFrame, templates: Mapping[str, str] | None = None, coverage:
                 for d in np.flatnonzero(np.minimum(held[:, at], count).sum(axis=1) >= coverage * len(t.words) - 1e-9).tolist():
                     maybe.setdefault(d, []).append(t)
             for d, some in maybe.items():
-                found[d] = [dict(zip(("license", "coverage", "start", "end"), f, strict=True)) for f in find_in(hashes[first[d] : first[d + 1]].tolist(), some, coverage)]
+                mine = np.flatnonzero(hit[first[d] : first[d + 1]])
+                finds = find_among(mine.tolist(), hashes[first[d] + mine].tolist(), int(first[d + 1] - first[d]), some, coverage)
+                found[d] = [dict(zip(("license", "coverage", "start", "end"), f, strict=True)) for f in finds]
         return batch_of(doc_id=ids_of(batch), found=pa.array(found, kind))
 
     return map_steps(narrow(docs, "doc_id", "text"), work, f"doc_id long, found {FOUND}")

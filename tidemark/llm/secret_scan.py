@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import batch_of, ids_of, map_steps, narrow, texts_of
-from tidemark.llm.sampling import fit_in_task
+from tidemark.llm.common import batch_of, ids_of, map_steps, narrow, stored, texts_of
+from tidemark.llm.sampling import SAMPLE_BYTES, first_ids, fit_in_task, told
 from tidemark.llm.textblock import TextBlock
 
 # fixed values: the base patterns and their least lengths
@@ -45,8 +45,10 @@ _KEYS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 BEFORE, INSIDE, AFTER = 20, 44, 12
 WIDTH, FILTERS, EMBED, HIDDEN = 5, 24, 10, 16
 RECALL = 0.99
-#: The bound of the training sample: at most so many documents with candidates, by the order of a hash of the id.
-SAMPLE_DOCUMENTS = 4_000
+#: The bound of the training sample, by the order of a hash of the id: of so many documents at most so many with candidates.
+SAMPLE_POOL, SAMPLE_DOCUMENTS = 40_000, 4_000
+#: Words of the sample that drawn and planted examples are made of, chosen by lot.
+SAMPLE_WORDS = 5_000
 PLANTED = 1_000
 DRAWN, ROUNDS, BATCH, RATE, SEED = 1_500, 6, 128, 0.01, 11
 ALPHABET = 100
@@ -279,7 +281,7 @@ def train(texts: list[str], recall: float = RECALL, seed: int = SEED) -> CharCnn
 
     rng, windows, y, words = np.random.default_rng(seed), [], [], set()
     for text in texts:
-        words.update(w for w in text.split()[:200] if w.isalpha())
+        words.update(w for w in text.split() if w.isalpha())
     for text in texts:
         base, free = candidates(text)
         for number, span in enumerate(base):
@@ -289,7 +291,7 @@ def train(texts: list[str], recall: float = RECALL, seed: int = SEED) -> CharCnn
             if shown_harmless(text[span.start : span.end], words):
                 windows += windows_of(text, span)
         y += [0] * (len(windows) - len(y))
-    some_words = sorted(words)[:5000] or ["and", "the", "of"]
+    some_words = rng.permutation(sorted(words))[:SAMPLE_WORDS].tolist() or ["and", "the", "of"]
     planted = _planted(rng, texts, some_words, PLANTED)
     held, planted = planted[: len(planted) // 5], planted[len(planted) // 5 :]
     drawn, drawn_y = _drawn(rng, some_words, DRAWN)
@@ -344,12 +346,19 @@ def scan_text(text: str, net: CharCnn) -> tuple[list[Span], list[Span], list[flo
     return base, [s for s, _ in kept], [p for _, p in kept]
 
 
-def train_on(docs: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> CharCnn:
-    """Fits on a bounded sample: documents of up to 32 KiB whose text holds a key word or a long run with a digit."""
+def training_sample(docs: DataFrame, pool: int = SAMPLE_POOL, sample: int = SAMPLE_DOCUMENTS) -> DataFrame:
+    """Rows (doc_id, text), stored: of the ``pool`` ids that come first by a hash, the first ``sample`` whose text, of up to
+    32 KiB, holds a key word or a long run with a digit. Ids alone are ordered; texts are picked in one scan. An id that
+    repeats teaches one text."""
     likely = F.col("text").rlike(r"(?i)(password|passwd|secret|token|api_?key)|AKIA|[A-Za-z0-9+/_.=-]{%d}" % LEAST_TOKEN)
-    rows = narrow(docs, "doc_id", "text").where((F.octet_length("text") <= 32_768) & likely)
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    return CharCnn(fit_in_task(rows, lambda t: train(t["text"].to_pylist()).w))
+    near = narrow(docs, "doc_id", "text").join(F.broadcast(first_ids(docs, pool)), "doc_id", "left_semi")
+    found = stored(near.where((F.octet_length("text") <= SAMPLE_BYTES) & likely).groupBy("doc_id").agg(F.min("text").alias("text")), "secret-sample")
+    return told(found.join(F.broadcast(first_ids(found, sample)), "doc_id", "left_semi"), "secrets")
+
+
+def train_on(docs: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> CharCnn:
+    """Fits on a bounded sample of the documents."""
+    return CharCnn(fit_in_task(training_sample(docs, sample=sample), lambda t: train(t["text"].to_pylist()).w))
 
 
 SPAN = "array<struct<kind:string,start:long,end:long,score:double>>"
@@ -415,5 +424,3 @@ def digest(docs: DataFrame) -> DataFrame:
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     number = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *[number(k) for k in KINDS[:3]], F.sha2(joined("base"), 256).alias("base_sha256"), joined("found").alias("spans"))
-
-
