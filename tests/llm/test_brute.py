@@ -69,7 +69,7 @@ def plain_finds(text, templates, coverage):
         found += taken
     size = {n: len(plain_words(t)) for n, t in templates.items()}
     rank = lambda f: (f[0] * f[0] / size[f[1]], f[0], f[1])
-    kept = [f for f in found if not any(g[2] <= f[2] and f[3] <= g[3] and rank(g) > rank(f) for g in found)]
+    kept = [f for f in found if not any(2 * len(set(range(f[2], f[3])) & set(range(g[2], g[3]))) > f[3] - f[2] and rank(g) > rank(f) for g in found)]
     return sorted(((n, m / size[n], a, b) for m, n, a, b in kept), key=lambda x: (x[2], x[0]))
 
 

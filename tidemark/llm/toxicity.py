@@ -302,13 +302,13 @@ def first_odds(doc: np.ndarray, codes: np.ndarray, words: Words, y: np.ndarray,
 
 
 def train(texts: list[str | None], y: np.ndarray, rounds: int = ROUNDS, seed: int = SEED) -> BiGru:
-    """Fits the network on labelled texts; a fifth of them calibrates its probabilities. With a class missing it stays as drawn."""
+    """Fits the network on labelled texts; a fifth of them calibrates its probabilities. With a class missing, or no word
+    at all, every text gets one probability: the share of ones, drawn towards a quarter, so no label means no rejection."""
     net, rng = BiGru(seed=seed), np.random.default_rng(seed)
     y = np.asarray(y, np.float32)
-    if len(set(y.tolist())) < 2:
-        return net
-    word_doc, codes, words = read_sample(texts)
+    word_doc, codes, words = read_sample(texts) if len(set(y.tolist())) == 2 else (None, (), None)
     if not len(codes):
+        net.w["scale"][0], net.w["shift"][0] = 0, np.log((y.sum() + 0.5) / (len(y) - y.sum() + 1.5))
         return net
     doc, begin, size = cut_windows(np.bincount(word_doc, minlength=len(texts)))
     calibrating = np.zeros(len(texts), bool)
