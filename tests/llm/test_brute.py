@@ -67,9 +67,12 @@ def plain_finds(text, templates, coverage):
             if all(b <= c or d <= a for _, _, c, d in taken):
                 taken.append((n, name, a, b))
         found += taken
-    size = {n: len(plain_words(t)) for n, t in templates.items()}
-    rank = lambda f: (f[0] * f[0] / size[f[1]], f[0], f[1])
-    kept = [f for f in found if not any(2 * len(set(range(f[2], f[3])) & set(range(g[2], g[3]))) > f[3] - f[2] and rank(g) > rank(f) for g in found)]
+    size, kept, taken = {n: len(plain_words(t)) for n, t in templates.items()}, [], set()
+    for f in sorted(found, key=lambda f: (f[0] ** 2 / size[f[1]], f[0], f[1]), reverse=True):
+        mine = set(range(f[2], f[3]))
+        if 2 * len(mine & taken) <= len(mine):
+            kept.append(f)
+            taken |= mine
     return sorted(((n, m / size[n], a, b) for m, n, a, b in kept), key=lambda x: (x[2], x[0]))
 
 

@@ -164,7 +164,7 @@ def find_in(words: list, templates: list[Template], coverage: float = COVERAGE)
 def find_among(places: list[int], letters: list, last: int, templates: list[Template], coverage: float = COVERAGE) -> list[tuple[str, float, int, int]]:
     """As ``find_in``, for a text of ``last`` words of which ``letters`` stand at ``places``; the others are in no template.
     Of finds of one template that overlap the best stays; of different templates those stay of which no more than half
-    lies in a find of more weight: matched words times coverage."""
+    lies in finds of more weight: matched words times coverage."""
     found = []
     for t in templates:
         at = [k for k, w in enumerate(letters) if w in t.counts]
@@ -182,9 +182,14 @@ def find_among(places: list[int], letters: list, last: int, templates: list[Temp
         for n, a, b in sorted(matches, key=lambda m: (-m[0], m[2] - m[1], m[1])):
             if all(b <= c or d <= a for _, name, c, d in found if name == t.name):
                 found.append((n, t.name, a, b))
-    size = {t.name: len(t.words) for t in templates}
-    rank = lambda f: (f[0] * f[0] / size[f[1]], f[0], f[1])
-    kept = [f for f in found if not any(2 * (min(f[3], g[3]) - max(f[2], g[2])) > f[3] - f[2] and rank(g) > rank(f) for g in found)]
+    size, kept = {t.name: len(t.words) for t in templates}, []
+    for f in sorted(found, key=lambda f: (f[0] * f[0] / size[f[1]], f[0], f[1]), reverse=True):
+        inside, reached = 0, f[2]
+        for _, _, a, b in sorted(kept, key=lambda g: g[2]):
+            inside += max(min(b, f[3]) - max(a, reached), 0)
+            reached = max(reached, b)
+        if 2 * inside <= f[3] - f[2]:
+            kept.append(f)
     return sorted(((name, n / size[name], a, b) for n, name, a, b in kept), key=lambda x: (x[2], x[0]))
 
 
