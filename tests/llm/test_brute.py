@@ -298,3 +298,24 @@ def test_the_pipeline_on_odd_and_empty_tables(spark, sf, tmp_path, odd_documents
 
 def test_words_of_text_are_cut_as_the_contract_says(spark):
     assert plain_words("A-b 漢字's") == ["a", "b", "漢字", "s"] and pa.array(["x"]).to_pylist() == ["x"]
+
+
+# --- 8
+
+
+def test_rounds_find_what_one_pass_finds(spark, sf, documents, monkeypatch):
+    """Many shards in several rounds, matches and the cut texts alike; runs that two rounds' items share become one."""
+    from tidemark.llm import decontaminate as D
+
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    item = bench.first()["text"].split()
+    more = spark.createDataFrame([(10**6, " ".join(["before", *item[:24], "after"]), "en", "s", 3), (10**6 + 1, None, "en", "s", None)], documents.schema)
+    docs = documents.unionByName(more).withColumn("_row", F.lit(1)).withColumn("hits", F.lit("clash"))
+    keyed = lambda df: sorted(map(str, df.collect()))
+    want, cut = keyed(D.find_matches(docs, bench)), keyed(D.remove_matches(docs, bench))
+    monkeypatch.setattr(D, "ROUND_SHARDS", 2)
+    assert len(list(D.in_rounds(bench, 200))) > 2
+    assert keyed(D.find_matches(docs, bench, shard_words=200)) == want
+    assert keyed(D.remove_matches(docs, bench, shard_words=200)) == cut
+    empty = bench.where("item_id < 0")
+    assert D.find_matches(docs, empty).where("size(hits) > 0").count() == 0 and D.remove_matches(docs, empty).count() == docs.count()

@@ -21,12 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset and the master is
+    local (tests)."""
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
     return sc.getCheckpointDir().rstrip("/")
 
@@ -76,13 +79,13 @@ def in_steps(batches: Iterator[pa.RecordBatch], text: str = "text", size: int =
 
 
 def map_steps(
-    df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: StructType | str, text: str = "text", setup: Callable | None = None
+    df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: StructType | str, text: str = "text", setup: Callable | None = None, size: int = STEP_BYTES
 ) -> DataFrame:
-    """mapInArrow over bounded steps. ``setup()`` runs once in each task; its result is passed on to ``work``."""
+    """mapInArrow over steps of about ``size`` bytes. ``setup()`` runs once in each task; its result is passed on to ``work``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = setup() if setup else None
-        for step in in_steps(batches, text):
+        for step in in_steps(batches, text, size):
             out = work(step, state) if setup else work(step)
             if out is not None and out.num_rows:
                 yield out
