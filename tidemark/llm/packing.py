@@ -1,14 +1,13 @@
 """10. Best-fit packing: documents become token pieces, and pieces share sequences with as little unused room as can be.
 
 Pieces are dealt evenly into groups of bounded size. Within a group, best-fit decreasing gives a first packing; a
-swap-based local search then moves, exchanges one for one and exchanges two for one between underfull sequences. Each
-accepted step raises the sum of squared fills, so the emptiest sequences drain until they are gone.
+swap-based local search then moves, exchanges one for one and exchanges two for one, either way, between underfull sequences. Each
+accepted step raises the sum of squared fills, so the emptiest sequences drain until they are gone. It goes on until no
+such step is left.
 """
 
 from __future__ import annotations
 
-import bisect
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -22,9 +21,7 @@ from tidemark.llm.tokens import BpeEncoder
 SEQUENCE = 1024
 END_ID = 2
 #: Pieces in one packing group. The room lost by packing groups apart is at most about a sequence a group.
-GROUP_PIECES = 60_000
-#: Pairs of sequences that the search tries in a group before it lets its packing stand.
-TRIES = 100_000
+GROUP_PIECES = 20_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
@@ -75,98 +72,96 @@ def best_fit_decreasing(lengths: np.ndarray, room: int) -> list[list[int]]:
 
 
 class _Search:
-    """Local search over the underfull bins of one group."""
+    """Local search over the underfull bins of one group.
+
+    For every underfull bin and every size, two tables tell the least item, and the least sum of two items, of at least
+    that size in the bin. So the best step from one bin to any other takes a few lookups, made for all bins at once.
+    """
 
     def __init__(self, lengths: np.ndarray, bins: list[list[int]], room: int):
         self.length, self.room, self.bins = lengths.tolist(), room, bins
         self.fill = [sum(self.length[i] for i in b) for b in bins]
 
-    def _put(self, k: int, give: list[int], take: list[int]) -> None:
-        for i in give:
-            self.bins[k].remove(i)
-        self.bins[k] += take
-        self.fill[k] += sum(self.length[i] for i in take) - sum(self.length[i] for i in give)
-
-    def _step(self, s: int, t: int) -> bool:
-        """One improving step that makes bin t fuller at the expense of s, which isn't fuller than t; the step that fills t most."""
-        size, slack = self.length, self.room - self.fill[t]
-        if not slack or self.fill[s] > self.fill[t]:
+    def _index(self, i: int) -> None:
+        size = np.array([self.length[x] for x in self.bins[self.under[i]]], np.int64)
+        self.slack[i] = self.room - size.sum() if len(size) else 0
+        sums = (size[:, None] + size)[np.triu_indices(len(size), 1)]
+        for table, there in ((self.one, size), (self.two, sums[sums <= self.room])):
+            table[i] = self.room + 1
+            table[i, there] = there
+            np.minimum.accumulate(table[i, ::-1], out=table[i, ::-1])
+
+    def _pick(self, i: int, total: int, two: bool) -> list[int]:
+        """An item of bin i of that size, or two of that sum."""
+        seen: dict[int, int] = {}
+        for x in self.bins[self.under[i]]:
+            if not two and self.length[x] == total:
+                return [x]
+            if two and total - self.length[x] in seen:
+                return [seen[total - self.length[x]], x]
+            seen[self.length[x]] = x
+        return []
+
+    def _give(self, i: int) -> bool:
+        """The step that fills some bin, no emptier than bin i, most at its expense, if there is one: one or two items go
+        there, and none, one or two (for one) come back."""
+        size = [self.length[x] for x in self.bins[self.under[i]]]
+        single = np.unique(size)
+        double = np.unique((np.array(size)[:, None] + size)[np.triu_indices(len(size), 1)])
+        double = double[double < self.room]
+        filled = self.room - self.slack
+        to = np.flatnonzero((self.slack > 0) & (filled >= filled[i]))
+        to = to[to != i]
+        if not len(to):
             return False
-        best, give, take = 0, [], []
-        mine = sorted(self.bins[s], key=size.__getitem__)
-        theirs = sorted(self.bins[t], key=size.__getitem__)
-        values = [size[i] for i in mine]
-        at = bisect.bisect_right(values, slack) - 1
-        if at >= 0:  # a move
-            best, give, take = values[at], [], [mine[at]]
-        for b in theirs:  # one for one
-            at = bisect.bisect_right(values, size[b] + slack) - 1
-            if at >= 0 and best < values[at] - size[b] <= slack:
-                best, give, take = values[at] - size[b], [b], [mine[at]]
-            if best == slack:
-                break
-        if best < slack and len(mine) > 1:  # two for one
-            for b in theirs:
-                low, high = 0, len(mine) - 1
-                while low < high:
-                    gain = values[low] + values[high] - size[b]
-                    if gain > slack:
-                        high -= 1
-                        continue
-                    if gain > best:
-                        best, give, take = gain, [b], [mine[low], mine[high]]
-                    low += 1
-                if best == slack:
-                    break
-        if best < slack and len(theirs) > 1:  # one for two
-            other = [size[i] for i in theirs]
-            for j, a in enumerate(values):
-                low, high = 0, len(theirs) - 1
-                while low < high:
-                    gain = a - other[low] - other[high]
-                    if gain > slack:
-                        low += 1
-                        continue
-                    if gain > best:
-                        best, give, take = gain, [theirs[low], theirs[high]], [mine[j]]
-                    high -= 1
-                if best == slack:
-                    break
-        if not best:
+        best = (0, 0, 0, 0, False, False)  # gain, bin, given, taken, given by two, taken by two
+        for gives, pair in ((single, False), (double, True)):
+            if not len(gives):
+                continue
+            least = np.maximum(gives[:, None] - self.slack[to], 1)
+            ways = [(self.one, False)] + ([] if pair else [(self.two, True)])
+            for table, taken_two in ways:
+                take = table[to, least]
+                gain = np.where(take < gives[:, None], gives[:, None] - take, 0)
+                if not taken_two and not pair:  # a move
+                    moved = gives[:, None] <= self.slack[to]
+                    take, gain = np.where(moved, 0, take), np.where(moved, gives[:, None], gain)
+                at = int(gain.argmax())
+                r, c = divmod(at, len(to))
+                if gain[r, c] > best[0]:
+                    best = (int(gain[r, c]), int(to[c]), int(gives[r]), int(take[r, c]), pair, taken_two)
+        gain, j, given, taken, pair, taken_two = best
+        if not gain:
             return False
-        self._put(t, give, take)
-        self._put(s, take, give)
+        give, take = self._pick(i, given, pair), self._pick(j, taken, taken_two) if taken else []
+        for k, out, come in ((i, give, take), (j, take, give)):
+            b = self.under[k]
+            self.bins[b] = [x for x in self.bins[b] if x not in out] + come
+            self.fill[b] = sum(self.length[x] for x in self.bins[b])
+            self._index(k)
         return True
 
-    def _alike(self, k: int) -> tuple[int, ...]:
-        return tuple(sorted(self.length[i] for i in self.bins[k]))
-
-    def run(self, tries: int = TRIES) -> list[list[int]]:
-        """Rounds over pairs of underfull bins, the emptiest giving and the fullest taking first, until none helps."""
-        failed: set[tuple] = set()  # pairs of bins' lengths between which there is no step
+    def run(self, steps: int | None = None) -> list[list[int]]:
+        """Rounds over the underfull bins, the emptiest giving first, until none has a step left, or as few bins are left
+        as can be. Every step raises the sum of squared fills, so it ends; ``steps`` may end it sooner."""
+        self.under = sorted((k for k in range(len(self.bins)) if 0 < self.fill[k] < self.room), key=self.fill.__getitem__)
+        self.slack = np.zeros(len(self.under), np.int64)
+        self.one, self.two = (np.zeros((len(self.under), self.room + 1), np.int16 if self.room < 32_000 else np.int32) for _ in range(2))
+        for i in range(len(self.under)):
+            self._index(i)
         changed = True
-        while changed and tries > 0:
+        while changed and self.slack.sum() >= self.room:
             changed = False
-            order = sorted((k for k in range(len(self.bins)) if 0 < self.fill[k] < self.room), key=self.fill.__getitem__)
-            if sum(self.room - self.fill[k] for k in order) < self.room:  # no packing has a bin less
-                break
-            for at, s in enumerate(order):
-                for t in reversed(order[at + 1 :]):
-                    if not self.fill[s] or tries <= 0:
-                        break
-                    if self.fill[t] == self.room or (pair := (self._alike(s), self._alike(t))) in failed:
-                        continue
-                    tries -= 1
-                    if self._step(s, t):
-                        changed = True
-                    else:
-                        failed.add(pair)
+            for i in np.argsort(-self.slack, kind="stable").tolist():
+                while self.slack[i] > 0 and self.slack.sum() >= self.room and (steps is None or steps > 0) and self._give(i):
+                    changed = True
+                    steps = steps if steps is None else steps - 1
         return [b for b in self.bins if b]
 
 
-def pack_lengths(lengths: np.ndarray, room: int = SEQUENCE, tries: int = TRIES) -> list[list[int]]:
+def pack_lengths(lengths: np.ndarray, room: int = SEQUENCE, steps: int | None = None) -> list[list[int]]:
     """Bins as lists of item numbers: best-fit decreasing, then the local search. Every item is in one bin."""
-    return _Search(lengths, best_fit_decreasing(lengths, room), room).run(tries)
+    return _Search(lengths, best_fit_decreasing(lengths, room), room).run(steps)
 
 
 def pack_pieces(pieces: DataFrame, sequence: int = SEQUENCE, group_pieces: int = GROUP_PIECES) -> DataFrame:
