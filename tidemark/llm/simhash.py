@@ -1,15 +1,21 @@
 """9. SimHash near-duplicate groups, found by anchor-point covering.
 
-A 64-bit fingerprint is looked at as two halves. Fingerprints that differ in at most three bits differ in at most one
+Groups by fingerprint (``fingerprint_groups``): a 64-bit fingerprint is looked at as two halves. Fingerprints that differ in at most three bits differ in at most one
 bit of some half. On each half, the anchors are the words of a covering code: the perfect Hamming code of 31 bits,
 and either value of the last bit. Its covering radius is 1, so each half has its own anchor at most one bit away, and
 that anchor is at most 1 + 1 bits away from the same half of any partner. Each fingerprint therefore goes to every
 anchor within radius plus threshold, 17 of 2**27 at most on each half, and whatever is compared is compared within an anchor.
+
+Groups by similarity (``near_duplicates``): sets of five-word shingles of which 0.8 or more are common differ in some 15 % of
+SimHash bits, far beyond three. There a fingerprint of 640 bits is looked at through PROJECTIONS lots of 35 of its bits. The
+anchors of a lot are the words of the product of five perfect Hamming codes of 7 bits, of which one is within the covering
+radius of any word, so each fingerprint goes to one anchor a lot. Pairs that meet under an anchor, and that a word of
+64 bits doesn't tell apart, are then measured exactly on their shingles.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +23,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import batch_of, cut, ids_of, map_steps, narrow, stored, tasks_for, texts_of
-from tidemark.llm.components import connected_components, join_hubs
-from tidemark.llm.textblock import NOT_SPACE, TextBlock
+from tidemark.llm.common import STEP_BYTES, batch_of, cut, ids_of, map_steps, narrow, stored, tasks_for, texts_of
+from tidemark.llm.components import HUBS, connected_components, join_hubs
+from tidemark.llm.textblock import NOT_SPACE, U64, TextBlock, mix, windows
 
 SHINGLE, BITS, SEED = 3, 3, 42
 #: Fingerprints under one anchor that a task compares at once; larger anchors are compared in pairs of blocks of this size.
@@ -103,9 +109,9 @@ def anchors_of(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(number), np.concatenate(anchor), np.concatenate(home)
 
 
-def _forest(fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """A tree of links over each linked group of these fingerprints."""
-    unseen, child, parent = np.ones(len(fp), bool), [], []
+def _tree(fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """A tree of links over each linked group of these fingerprints: places of children and of their parents."""
+    unseen, child, parent = np.ones(len(fp), bool), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for root in range(len(fp)):
         if not unseen[root]:
             continue
@@ -116,10 +122,16 @@ def _forest(fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
             rest = np.flatnonzero(unseen)
             found = rest[np.bitwise_count(fp[rest] ^ fp[x]) <= bits]
             unseen[found] = False
-            child.append(fp[found])
-            parent.append(np.full(len(found), fp[x]))
+            child.append(found)
+            parent.append(np.full(len(found), x))
             queue += found.tolist()
-    return (np.concatenate(child), np.concatenate(parent)) if child else (fp[:0], fp[:0])
+    return np.concatenate(child), np.concatenate(parent)
+
+
+def _forest(fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``_tree``, as fingerprints."""
+    child, parent = _tree(fp, bits)
+    return fp[child], fp[parent]
 
 
 def _small_links(start: np.ndarray, size: np.ndarray, home: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -234,32 +246,216 @@ def _large_links(rows: DataFrame, bits: int) -> DataFrame:
     return dealt.groupBy("anchor", "i", "j").applyInPandas(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """The operator: rows (doc_id, fp, component_id), one for each row of ``docs``.
+def fingerprint_groups(docs: DataFrame, size: int = SHINGLE, bits: int = BITS) -> DataFrame:
+    """The operator, by fingerprint: rows (doc_id, fp, component_id), one for each row of ``docs``.
 
     A component is whatever chains of links reach; its id is the smallest doc_id in it. Null and empty texts have
     fingerprint zero and link like any other. A null doc_id never names a component; one of only such rows has the
     id null. Repeated rows repeat. An empty table gives no rows; further columns are ignored.
     """
-    marked = stored(fingerprints(docs, size), "fingerprints")
+    return grouped(stored(fingerprints(docs, size), "fingerprints"), lambda distinct: links(distinct, bits))
+
+
+def grouped(marked: DataFrame, link: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows (doc_id, fp, component_id) from stored rows (doc_id, fp) and links (a, b) between distinct values of fp."""
     distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")))
     n, total = distinct.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
-    roots = connected_components(links(distinct, bits))
+    roots = connected_components(link(distinct))
     rooted = cut(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     names = rooted.groupBy("root").agg(F.count("*").alias("n"), F.min("least").alias("component_id"))
     named = join_hubs(rooted, names, "root", n).select("fp", "component_id", F.col("copies").alias("n"))
     return join_hubs(marked, named, "fp", total).select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, size: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """``docs`` with one document of each component: that of the smallest doc_id. Rows that repeat a doc_id count as
+#: Similarity of shingle sets from which texts are near duplicates, and the words of a shingle there.
+SIMILARITY, LONG_SHINGLE = 0.8, 5
+#: Words of 64 bits in a long fingerprint; lots of its bits; blocks of 7 bits in a lot.
+LONG_WORDS, PROJECTIONS, CODE_BLOCKS = 10, 160, 5
+#: Bits of 64 that pairs to be measured differ in at most. At a similarity of 0.8, 9.7 bits differ, 2.9 more or less.
+APART = 19
+#: One in so many fingerprints tells which anchors are crowded.
+ONE_IN = 16
+
+
+def _lots() -> np.ndarray:
+    """Places of the bits of each lot, (PROJECTIONS, CODE_BLOCKS, 7); lots of one shuffle share no bit."""
+    rng, size, out = np.random.default_rng(SEED), 7 * CODE_BLOCKS, []
+    while len(out) < PROJECTIONS:
+        order = rng.permutation(64 * LONG_WORDS)
+        out += [order[k : k + size] for k in range(0, len(order) - size + 1, size)]
+    return np.array(out[:PROJECTIONS]).reshape(PROJECTIONS, CODE_BLOCKS, 7)
+
+
+def _nearest_words() -> np.ndarray:
+    """For each 7 bits the number, of 16, of the one Hamming code word at most one bit away: its bits 3, 5, 6 and 7."""
+    value = np.arange(128, dtype=np.uint64)
+    wrong = np.zeros(128, np.uint64)
+    for place in range(1, 8):
+        wrong ^= ((value >> np.uint64(place - 1)) & np.uint64(1)) * np.uint64(place)
+    word = np.where(wrong > 0, value ^ (np.uint64(1) << (np.maximum(wrong, 1) - np.uint64(1))), value)
+    return sum(((word >> np.uint64(place - 1)) & np.uint64(1)) << np.uint64(k) for k, place in enumerate((3, 5, 6, 7))).astype(np.int64)
+
+
+def shingle_sets(texts: pa.Array, size: int = LONG_SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingle hashes of each text, A-Z in lower case, and the text's number, in order. A text of fewer words
+    is one shingle."""
+    block = TextBlock(texts, lower=True)
+    starts, ends, doc = block.spans(NOT_SPACE)
+    words = block.hashes(starts, ends)
+    hashes, at = windows(words, doc, size)
+    of = doc[at]
+    short = np.flatnonzero((np.bincount(doc, minlength=block.n) < size) & (np.bincount(doc, minlength=block.n) > 0))
+    edges = np.searchsorted(doc, np.arange(block.n + 1))
+    whole = np.zeros(len(short), np.uint64)
+    for k in range(size - 1):
+        there = edges[short] + k < edges[short + 1]
+        whole[there] = mix(whole[there] * U64(31) + words[edges[short[there]] + k] + U64(k + 1))
+    hashes, of = np.concatenate([hashes, whole]), np.concatenate([of, short])
+    order = np.lexsort((hashes, of))
+    hashes, of = hashes[order], of[order]
+    first = np.ones(len(of), bool)
+    first[1:] = (hashes[1:] != hashes[:-1]) | (of[1:] != of[:-1])
+    return hashes[first], of[first]
+
+
+def long_fingerprints(hashes: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """The bits of each text's fingerprint over its shingles, (n, 64 * LONG_WORDS)."""
+    out = np.zeros((n, 64 * LONG_WORDS), np.uint8)
+    if len(of):
+        docs, first, count = np.unique(of, return_index=True, return_counts=True)
+        for k in range(LONG_WORDS):
+            bits = np.unpackbits(mix(hashes + U64((0x9E3779B97F4A7C15 * (k + 1)) & 0xFFFFFFFFFFFFFFFF)).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            out[docs, 64 * k : 64 * k + 64] = 2 * np.add.reduceat(bits, first, axis=0, dtype=np.uint32) > count[:, None]
+    return out
+
+
+def _long_prints(batch: pa.RecordBatch) -> pa.RecordBatch:
+    texts = texts_of(batch)
+    hashes, of = shingle_sets(texts)
+    bits = np.packbits(long_fingerprints(hashes, of, len(texts)), axis=1, bitorder="little")
+    raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * LONG_WORDS), len(texts), [None, pa.py_buffer(bits.tobytes())]).cast(pa.binary())
+    size = np.bincount(of, minlength=len(texts))
+    alike = np.bincount(of, weights=np.zeros(len(of)), minlength=len(texts)).astype(np.uint64)
+    edges = np.searchsorted(of, np.arange(len(texts) + 1))
+    full = np.flatnonzero(size)
+    if len(full):
+        alike[full] = np.add.reduceat(mix(hashes), edges[full])  # equal sets have equal sums
+    return batch_of(doc_id=ids_of(batch), copy=texts_of(batch, "copy"), fp=pa.array((alike ^ mix(size.astype(np.uint64))).view(np.int64)), size=pa.array(size), bits=raw)
+
+
+def _place(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Every fingerprint under its anchor of each lot, with the word of 64 bits that comparisons begin with."""
+    n = batch.num_rows
+    raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(n, 8 * LONG_WORDS)
+    bits, near, power = np.unpackbits(raw, axis=1, bitorder="little").astype(np.int64), _nearest_words(), 1 << np.arange(7)
+    anchor = np.empty((PROJECTIONS, n), np.int64)
+    for k, lot in enumerate(_lots()):
+        anchor[k] = k
+        for block in lot:
+            anchor[k] = anchor[k] * 16 + near[bits[:, block] @ power]
+    fp = np.tile(batch.column(0).to_numpy(), PROJECTIONS)
+    word = np.tile(np.ascontiguousarray(raw[:, :8]).view("<u8").ravel().view(np.int64), PROJECTIONS)
+    return batch_of(anchor=pa.array(anchor.ravel()), fp=pa.array(fp), word=pa.array(word))
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs under an anchor to be measured, of rows sorted by anchor and block: all that the word doesn't tell apart in a
+    small block, and in a larger one a tree over each group of such."""
+
+    def settle(key, fp, word):
+        start = np.concatenate([[0], np.flatnonzero(np.any(key[1:] != key[:-1], axis=1)) + 1])
+        size = np.diff(np.append(start, len(key)))
+        few = np.flatnonzero((size > 1) & (size <= SMALL))
+        for part in np.array_split(few, 1 + int((size[few] ** 2).sum() // 1_000_000)):
+            bucket = np.repeat(part, size[part])
+            x = start[bucket] + np.arange(len(bucket)) - np.repeat(np.cumsum(size[part]) - size[part], size[part])
+            later = start[bucket] + size[bucket] - x - 1
+            a = np.repeat(x, later)
+            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(later) - later, later)
+            close = (np.bitwise_count(word[a] ^ word[b]) <= APART) & (fp[a] != fp[b])
+            yield fp[a[close]], fp[b[close]]
+        for k in np.flatnonzero(size > SMALL):
+            mine = slice(start[k], start[k] + size[k])
+            child, parent = _tree(word[mine], APART)
+            yield fp[mine][child], fp[mine][parent]
+
+    held: list[tuple] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1)
+        rows = key, batch.column(2).to_numpy(), batch.column(3).to_numpy().view(np.uint64)
+        if held:
+            rows = tuple(np.concatenate(x) for x in zip(*held, rows, strict=True))
+        changes = np.flatnonzero(np.any(rows[0][1:] != rows[0][:-1], axis=1))
+        last = int(changes[-1]) + 1 if len(changes) else 0
+        held = [tuple(x[last:] for x in rows)]
+        if last:
+            for a, b in settle(*(x[:last] for x in rows)):
+                yield batch_of(a=pa.array(np.maximum(a, b)), b=pa.array(np.minimum(a, b)))
+    if held:
+        for a, b in settle(*held[0]):
+            yield batch_of(a=pa.array(np.maximum(a, b)), b=pa.array(np.minimum(a, b)))
+
+
+def _similar_links(docs: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
+    """Rows (a, b): values of fp, each a set of shingles, whose sets have that similarity, of those that meet."""
+    spark = docs.sparkSession
+    once = cut(prints.where("size > 0").groupBy("fp").agg(F.first("bits").alias("bits"), F.min("copy").alias("copy")))
+    place = lambda rows: map_steps(rows.select("fp", "bits"), _place, "anchor long, fp long, word long", text="bits", size=STEP_BYTES // 4)
+    placed = place(once)
+    # Crowded anchors are dealt into blocks; the dealing differs from lot to lot, so a large group's blocks are linked by other lots.
+    some = place(once.where(F.pmod(F.xxhash64("fp", F.lit(SEED)), F.lit(ONE_IN)) == 0)).groupBy("anchor").agg(F.count("*").alias("n"))
+    some = cut(some.where(F.col("n") > BLOCK // ONE_IN))
+    bar = max(BLOCK // ONE_IN, (some.agg(F.sum("n")).first()[0] or 0) // HUBS)
+    crowded = some.where(F.col("n") > bar).select("anchor", F.ceil(F.col("n") * ONE_IN / BLOCK).cast("int").alias("blocks"))
+    dealt = placed.join(F.broadcast(crowded), "anchor", "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("fp", "anchor"), F.col("blocks")), F.lit(0)).cast("int"))
+    dealt = dealt.select("anchor", "block", "fp", "word").repartition(tasks_for(spark, placed), "anchor", "block").sortWithinPartitions("anchor", "block")
+    pairs = stored(dealt.mapInArrow(_meet, "a long, b long").distinct(), "pairs")
+    wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
+    sets = stored(_sets_of(docs, cut(wanted.join(once.select("fp", "copy"), "fp"))), "shingles")
+    side = lambda n: sets.select(F.col("fp").alias(n), F.col("shingles").alias(f"{n}_set"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    common = F.size(F.array_intersect("a_set", "b_set"))
+    return both.where(common >= similarity * (F.size("a_set") + F.size("b_set") - common)).select("a", "b")
+
+
+def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows (fp, shingles) of the wanted (fp, copy), each once; of equal texts one is read."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = texts_of(batch)
+        hashes, of = shingle_sets(texts)
+        edges = np.searchsorted(of, np.arange(len(texts) + 1)).astype(np.int32)
+        return batch_of(fp=texts_of(batch, "fp"), shingles=pa.ListArray.from_arrays(pa.array(edges), pa.array(hashes.view(np.int64))))
+
+    once = docs.select(F.xxhash64("text").alias("copy"), "text").join(wanted, "copy").groupBy("fp").agg(F.first("text").alias("text"))
+    return map_steps(once, work, "fp long, shingles array<long>")
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The operator, by similarity: rows (doc_id, fp, component_id), one for each row of ``docs``; ``fp`` is a hash of the
+    text's set of five-word shingles, A-Z in lower case.
+
+    Texts of the same set are linked, and so are those whose sets have a Jaccard similarity of ``similarity`` or more, as
+    far as they meet under an anchor; the README gives the measured share. A component is whatever chains of links reach;
+    its id is the smallest doc_id in it. Texts without a word, null ones too, have the empty set and are one group. A null
+    doc_id never names a component. Repeated rows repeat. An empty table gives no rows; further columns are ignored.
+    """
+    read = docs.select("doc_id", "text", F.xxhash64("text").alias("copy"))
+    prints = stored(map_steps(read, _long_prints, "doc_id long, copy long, fp long, size long, bits binary"), "prints")
+    return grouped(prints.select("doc_id", "fp"), lambda _: _similar_links(docs, prints, similarity))
+
+
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` with one document of each group of near duplicates: that of the smallest doc_id. Rows that repeat a doc_id count as
     one document; rows without a doc_id can't be told apart from others and stay."""
-    gone = near_duplicates(docs, size, bits).where(F.col("doc_id") != F.col("component_id")).select("doc_id")
+    gone = near_duplicates(docs, similarity).where(F.col("doc_id") != F.col("component_id")).select("doc_id")
     told = docs.where(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti").select(*docs.columns)
     return told.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """op9's rows."""
-    found = near_duplicates(docs)
+    found = fingerprint_groups(docs)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
