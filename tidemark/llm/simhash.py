@@ -318,14 +318,27 @@ def shingle_sets(texts: pa.Array, size: int = LONG_SHINGLE) -> tuple[np.ndarray,
     return hashes[first], of[first]
 
 
+def _bit_sums(hashes: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """How many of each text's hashes have each bit, (texts, 64): eight counters of a byte each are added at once, over
+    stretches of up to 255 hashes, and then the stretches."""
+    pieces = -(-count // 255)
+    begin = np.cumsum(pieces) - pieces
+    starts = np.repeat(first - 255 * begin, pieces) + 255 * np.arange(pieces.sum())
+    sums = np.empty((len(first), 64), np.uint32)
+    for j in range(8):
+        lanes = np.add.reduceat((hashes >> U64(j)) & U64(0x0101010101010101), starts)
+        sums[:, j::8] = np.add.reduceat(lanes.astype("<u8").view(np.uint8).reshape(-1, 8), begin, axis=0, dtype=np.uint32)
+    return sums
+
+
 def long_fingerprints(hashes: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
     """The bits of each text's fingerprint over its shingles, (n, 64 * LONG_WORDS)."""
     out = np.zeros((n, 64 * LONG_WORDS), np.uint8)
     if len(of):
         docs, first, count = np.unique(of, return_index=True, return_counts=True)
         for k in range(LONG_WORDS):
-            bits = np.unpackbits(mix(hashes + U64((0x9E3779B97F4A7C15 * (k + 1)) & 0xFFFFFFFFFFFFFFFF)).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            out[docs, 64 * k : 64 * k + 64] = 2 * np.add.reduceat(bits, first, axis=0, dtype=np.uint32) > count[:, None]
+            more = mix(hashes + U64((0x9E3779B97F4A7C15 * (k + 1)) & 0xFFFFFFFFFFFFFFFF))
+            out[docs, 64 * k : 64 * k + 64] = 2 * _bit_sums(more, first, count) > count[:, None]
     return out
 
 
@@ -358,25 +371,42 @@ def _place(batch: pa.RecordBatch) -> pa.RecordBatch:
     return batch_of(anchor=pa.array(anchor.ravel()), fp=pa.array(fp), word=pa.array(word))
 
 
+def _closest_before(word: np.ndarray, apart: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row after the first the one before it whose word differs least, if in no more than ``apart`` bits."""
+    child, parent = [], []
+    for k in range(1, len(word)):
+        differ = np.bitwise_count(word[:k] ^ word[k])
+        at = int(differ.argmin())
+        if differ[at] <= apart:
+            child.append(k)
+            parent.append(at)
+    return np.array(child, np.int64), np.array(parent, np.int64)
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs under an anchor to be measured, of rows sorted by anchor and block: all that the word doesn't tell apart in a
-    small block, and in a larger one a tree over each group of such."""
+    """Pairs under an anchor to be measured, of rows sorted by anchor and block: each fingerprint with the closest before it
+    in its block, so there are fewer pairs than rows whatever the size of a group. What is before differs with the lot."""
 
     def settle(key, fp, word):
+        order = np.lexsort((np.where((key[:, 0] >> (4 * CODE_BLOCKS)) & 1, ~fp, fp), key[:, 1], key[:, 0]))
+        key, fp, word = key[order], fp[order], word[order]
         start = np.concatenate([[0], np.flatnonzero(np.any(key[1:] != key[:-1], axis=1)) + 1])
         size = np.diff(np.append(start, len(key)))
         few = np.flatnonzero((size > 1) & (size <= SMALL))
         for part in np.array_split(few, 1 + int((size[few] ** 2).sum() // 1_000_000)):
             bucket = np.repeat(part, size[part])
             x = start[bucket] + np.arange(len(bucket)) - np.repeat(np.cumsum(size[part]) - size[part], size[part])
-            later = start[bucket] + size[bucket] - x - 1
-            a = np.repeat(x, later)
-            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(later) - later, later)
-            close = (np.bitwise_count(word[a] ^ word[b]) <= APART) & (fp[a] != fp[b])
-            yield fp[a[close]], fp[b[close]]
+            before = x - start[bucket]
+            b = np.repeat(x, before)
+            a = np.repeat(start[bucket], before) + np.arange(len(b)) - np.repeat(np.cumsum(before) - before, before)
+            differ = np.bitwise_count(word[a] ^ word[b])
+            ranked = np.lexsort((differ, b))
+            first = ranked[np.unique(b[ranked], return_index=True)[1]]
+            first = first[differ[first] <= APART]
+            yield fp[a[first]], fp[b[first]]
         for k in np.flatnonzero(size > SMALL):
             mine = slice(start[k], start[k] + size[k])
-            child, parent = _tree(word[mine], APART)
+            child, parent = _closest_before(word[mine], APART)
             yield fp[mine][child], fp[mine][parent]
 
     held: list[tuple] = []
