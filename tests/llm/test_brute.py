@@ -319,3 +319,64 @@ def test_rounds_find_what_one_pass_finds(spark, sf, documents, monkeypatch):
     assert keyed(D.remove_matches(docs, bench, shard_words=200)) == cut
     empty = bench.where("item_id < 0")
     assert D.find_matches(docs, empty).where("size(hits) > 0").count() == 0 and D.remove_matches(docs, empty).count() == docs.count()
+
+
+# --- 9, by similarity
+
+
+def test_similar_texts_are_grouped(spark):
+    """Against exact similarities: nearly all pairs of 0.8 or more, and no chain that such pairs don't make."""
+    from tidemark.llm import simhash as N
+
+    rng, vocabulary = np.random.default_rng(12), [f"w{i}" for i in range(3000)]
+    texts = []
+    for k in range(60):
+        words = rng.choice(vocabulary, int(rng.integers(40, 400))).tolist()
+        texts.append(" ".join(words))
+        for _ in range(3):
+            other = list(words)
+            for at in rng.choice(len(words), max(1, int(len(words) * rng.choice([0.005, 0.01, 0.015, 0.08]))), replace=False):
+                other[at] = str(rng.choice(vocabulary))
+            texts.append(" ".join(other))
+    texts += ["", None, " \n", "three short words", "THREE short  words", "three short words more", texts[0].upper()]
+    got = {r["doc_id"]: r["component_id"] for r in N.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    sets = [(lambda w: frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset())((t or "").lower().split()) for t in texts]
+    label = list(range(len(texts)))
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    pairs = [(a, b) for b in range(len(texts)) for a in range(b) if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        label[max(a, b)] = min(a, b)
+    assert all(root(d) == root(c) for d, c in got.items())
+    assert len(pairs) > 60 and sum(got[a] == got[b] for a, b in pairs) >= 0.95 * len(pairs)
+    n = len(texts)
+    assert got[n - 7] == got[n - 6] == got[n - 5] == n - 7 and got[n - 4] == got[n - 3] != got[n - 2] and got[n - 1] == 0
+
+
+def test_crowded_anchors_still_make_one_group(spark, monkeypatch):
+    """Near copies in thousands, dealt into blocks: one group, by pairs that grow with its size and not with the square."""
+    from tidemark.llm import simhash as N
+
+    monkeypatch.setattr(N, "BLOCK", 64)
+    rng, counted, stored = np.random.default_rng(3), {}, N.stored
+
+    def noted(df, label):
+        out = stored(df, label)
+        counted[label] = out.count()
+        return out
+
+    monkeypatch.setattr(N, "stored", noted)
+    words = [f"w{i}" for i in range(300)]
+    rows = []
+    for k in range(600):
+        other = list(words)
+        for at in rng.choice(300, 2, replace=False):
+            other[at] = f"x{rng.integers(0, 10**6)}"
+        rows.append((k, " ".join(other)))
+    got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got.where("component_id = 0").count() == 600 and counted["pairs"] <= 600 * N.PROJECTIONS < 600 * 599 / 2
