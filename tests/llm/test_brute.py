@@ -206,9 +206,9 @@ def plain_judgement(rows, halves):
     return nats, kept
 
 
-@pytest.mark.parametrize("head, part_entries", [(10**6, 10**6), (64, 200), (0, 10**6)])
+@pytest.mark.parametrize("head, part_entries", [(10**6, 10**6), (64, 200), (64, 30), (0, 10**6)])
 def test_verdicts_match_dictionaries(spark, monkeypatch, head, part_entries):
-    """With all shares broadcast, with few, and with none; with the model in one part and in many."""
+    """With all shares broadcast, with few, and with none; with the model in one part, in many, and with most pairs split."""
     monkeypatch.setattr(R.kn, "HEAD", head)
     monkeypatch.setattr(R.perplexity, "__defaults__", (head,))
     monkeypatch.setattr(R.kn.shares_of, "__defaults__", (part_entries, K.ORDER))

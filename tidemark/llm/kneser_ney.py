@@ -27,8 +27,8 @@ ORDER = 5
 START = "\x02"
 #: Distinct n-grams that a counting task holds before it passes them on to Spark's sums.
 HELD = 2_000_000
-#: Entries of the model that one task holds at once. A larger model is split by the two characters before the predicted
-#: one, which decide all its entries of order 3 and up; the few of orders 1 and 2 go to every part.
+#: Entries of the model that one task holds at once. A larger model is split by language and the two characters before the
+#: predicted one, which decide all its entries of order 3 and up; the few of orders 1 and 2 go to every part.
 PART_ENTRIES = 1_000_000
 #: n-grams whose shares are broadcast, the most frequent first; 16 bytes each.
 HEAD = 3_000_000
@@ -192,10 +192,9 @@ def hashed(model: DataFrame, *more: str) -> DataFrame:
     return model.select("lang", "kind", "gram", "value", *more).mapInArrow(run, "kind int, key long, value double" + "".join(f", {n} int" for n in more))
 
 
-def _part_of(model: DataFrame, parts: int) -> Column:
-    """Which part an entry of order 3 and up belongs to: by the two characters before the predicted one."""
-    pair = F.when(F.col("kind") >= 3, F.substring(F.col("gram"), F.length("gram") - 2, F.lit(2))).otherwise(F.substring(F.col("gram"), F.length("gram") - 1, F.lit(2)))
-    return F.pmod(F.crc32(F.encode(pair, "UTF-8")), F.lit(parts))
+def _pair() -> Column:
+    """The two characters before the predicted one, of an entry of order 3 and up; they decide all such entries that an n-gram asks for."""
+    return F.when(F.col("kind") >= 3, F.substring(F.col("gram"), F.length("gram") - 2, F.lit(2))).otherwise(F.substring(F.col("gram"), F.length("gram") - 1, F.lit(2)))
 
 
 def model_parts(model: DataFrame, part_entries: int = PART_ENTRIES) -> Iterator[tuple[HashArrays, int, int]]:
@@ -204,7 +203,7 @@ def model_parts(model: DataFrame, part_entries: int = PART_ENTRIES) -> Iterator[
     large = F.col("kind").between(-2, 2)
     parts = max(1, -(-model.where(~large).count() // part_entries))
     for k in range(parts):
-        some = model if parts == 1 else model.where(large | (_part_of(model, parts) == k))
+        some = model if parts == 1 else model.where(large | (F.pmod(F.crc32(F.encode(_pair(), "UTF-8")), F.lit(parts)) == k))
         rows = hashed(some).toArrow()
         yield HashArrays(rows["kind"].to_numpy(), rows["key"].to_numpy().view(np.uint64), rows["value"].to_numpy()), k, parts
 
@@ -239,13 +238,30 @@ def log_shares(arrays: HashArrays, padded: np.ndarray, place: np.ndarray, lang:
 
 def shares_of(model: DataFrame, wanted: DataFrame, part_entries: int = PART_ENTRIES, order: int = ORDER) -> DataFrame:
     """Rows (key, value, c), stored: the log share of each n-gram of ``wanted`` (judge, gram, c) under the model named
-    ``judge``, by the hash that ``score`` looks for. Each part of n-grams meets its part of the model in one task."""
+    ``judge``, by the hash that ``score`` looks for. Each part of n-grams meets its part of the model in one task.
+
+    A model and a pair of characters before the predicted one make a part's smallest piece. A pair of more than
+    ``part_entries`` entries is split further by the predicted character: its shares go each to one piece, the weights of
+    its contexts, which know no predicted character, to all of them.
+    """
     large = F.col("kind").between(-2, 2)
-    parts = max(1, -(-model.where(~large).count() // part_entries))
+    deep = model.where(~large).withColumn("pair", _pair())
+    sizes = cut(deep.groupBy("lang", "pair").agg(F.count("*").alias("n")))
+    parts = max(1, -(-(sizes.agg(F.sum("n")).first()[0] or 0) // part_entries))
+    # Each row stands for over part_entries entries of the model, so there are no more rows than parts.
+    crowded = F.broadcast(sizes.where(F.col("n") > part_entries).select("lang", "pair", F.ceil(F.col("n") / part_entries).cast("int").alias("splits")))
+    splits = F.coalesce("splits", F.lit(1))
+    of_last = F.pmod(F.crc32(F.encode(F.expr("right(gram, 1)"), "UTF-8")), splits)
+
+    def part(lang: str) -> Column:
+        return F.pmod(F.crc32(F.encode(F.concat_ws("/", F.col("split").cast("string"), lang, "pair"), "UTF-8")), F.lit(parts)).cast("int").alias("part")
+
+    pieces = F.when(F.col("kind") > 0, F.array(of_last)).otherwise(F.sequence(F.lit(0).cast("long"), splits.cast("long") - 1))
+    placed = deep.join(crowded, ["lang", "pair"], "left").withColumn("split", F.explode(pieces)).select(*model.columns, part("lang"))
     everywhere = model.where(large).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    dealt = hashed(model.where(~large).withColumn("part", _part_of(model, parts).cast("int")).unionByName(everywhere), "part")
-    pair = F.substring("gram", order - 2, 2)
-    asked = wanted.select("judge", "gram", "c", F.pmod(F.crc32(F.encode(pair, "UTF-8")), F.lit(parts)).cast("int").alias("part"))
+    dealt = hashed(placed.unionByName(everywhere), "part")
+    asked = wanted.withColumn("pair", F.substring("gram", order - 2, 2)).join(crowded.withColumnRenamed("lang", "judge"), ["judge", "pair"], "left")
+    asked = asked.withColumn("split", of_last).select("judge", "gram", "c", part("judge"))
 
     def work(entries: pa.Table, grams: pa.Table) -> pa.Table:
         arrays = HashArrays(entries["kind"].to_numpy(), entries["key"].to_numpy().view(np.uint64), entries["value"].to_numpy())
