@@ -380,3 +380,15 @@ def test_crowded_anchors_still_make_one_group(spark, monkeypatch):
         rows.append((k, " ".join(other)))
     got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     assert got.where("component_id = 0").count() == 600 and counted["pairs"] <= 600 * N.PROJECTIONS < 600 * 599 / 2
+
+
+def test_marks_hold_back_no_key(spark):
+    from tidemark.llm.common import with_maybe
+
+    numbers = spark.range(20_000).withColumn("_maybe", F.lit("clash"))
+    keys = numbers.select("id").where("id % 7 = 3").union(spark.createDataFrame([(None,), (3,)], "id long"))
+    got, name = with_maybe(numbers, "id", keys)
+    assert got.columns == ["id", "_maybe", "_maybe_"] == [*numbers.columns, name] and got.count() == 20_000
+    assert got.where("id % 7 = 3").where(~F.col(name)).isEmpty() and got.where(F.col(name)).count() < 20_000 / 7 + 50
+    none, name = with_maybe(numbers, "id", keys.limit(0))
+    assert none.where(F.col(name)).isEmpty() and none.count() == 20_000

@@ -14,6 +14,8 @@ from pyspark.sql.types import StructType
 
 #: UTF-8 bytes of text that one vectorised step works on; a longer document makes a step of its own.
 STEP_BYTES = 2_000_000
+#: Bits that ``with_maybe`` broadcasts, 16 MB, in rows of 4 KB.
+MARK_BITS, MARK_ROW = 1 << 27, 1 << 15
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +58,24 @@ def tasks_for(spark: SparkSession, df: DataFrame) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def with_maybe(df: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` with one more column, and its name: false only where the number ``key`` is none of those in the column of
+    that name of ``keys``. It lets a join leave most rows where they are and shuffle those that it may concern.
+
+    What is broadcast is one bit for each of MARK_BITS hashes, whatever the number of keys; with very many keys most bits
+    are set and most rows pass, none wrongly held back. A null ``key`` may be either.
+    """
+    name = "_maybe"
+    while name in df.columns:
+        name += "_"
+    bit = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(MARK_BITS))
+    marks = keys.select(bit.alias("bit")).groupBy(F.shiftright("bit", 15).alias(f"{name}at")).agg(F.bitmap_construct_agg(F.col("bit") % MARK_ROW).alias(f"{name}marks"))
+    byte = F.substring(F.col(f"{name}marks"), F.shiftright(bit % MARK_ROW, 3).cast("int") + 1, F.lit(1))
+    found = F.getbit(F.conv(F.hex(byte), 16, 10).cast("long"), (bit % 8).cast("int")) == 1
+    joined = df.join(F.broadcast(marks), F.shiftright(bit, 15) == F.col(f"{name}at"), "left")
+    return joined.select(*[df[c] for c in df.columns], F.coalesce(found, F.lit(False)).alias(name)), name
+
+
 def narrow(df: DataFrame, *columns: str) -> DataFrame:
     """Just these columns; whatever else the table carries, clashing names included, is left out."""
     return df.select(*[F.col(c) for c in columns])

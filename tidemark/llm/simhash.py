@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import STEP_BYTES, batch_of, cut, ids_of, map_steps, narrow, stored, tasks_for, texts_of
+from tidemark.llm.common import STEP_BYTES, batch_of, cut, ids_of, map_steps, narrow, stored, tasks_for, texts_of, with_maybe
 from tidemark.llm.components import HUBS, connected_components, join_hubs
 from tidemark.llm.textblock import NOT_SPACE, U64, TextBlock, mix, windows
 
@@ -443,7 +443,7 @@ def _similar_links(docs: DataFrame, prints: DataFrame, similarity: float) -> Dat
     dealt = dealt.select("anchor", "block", "fp", "word").repartition(tasks_for(spark, placed), "anchor", "block").sortWithinPartitions("anchor", "block")
     pairs = stored(dealt.mapInArrow(_meet, "a long, b long").distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
-    sets = stored(_sets_of(docs, cut(wanted.join(once.select("fp", "copy"), "fp"))), "shingles")
+    sets = stored(_sets_of(docs, stored(wanted.join(once.select("fp", "copy"), "fp"), "wanted")), "shingles")
     side = lambda n: sets.select(F.col("fp").alias(n), F.col("shingles").alias(f"{n}_set"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("a_set", "b_set"))
@@ -459,7 +459,8 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         edges = np.searchsorted(of, np.arange(len(texts) + 1)).astype(np.int32)
         return batch_of(fp=texts_of(batch, "fp"), shingles=pa.ListArray.from_arrays(pa.array(edges), pa.array(hashes.view(np.int64))))
 
-    once = docs.select(F.xxhash64("text").alias("copy"), "text").join(wanted, "copy").groupBy("fp").agg(F.first("text").alias("text"))
+    read, maybe = with_maybe(docs.select(F.xxhash64("text").alias("copy"), "text"), "copy", wanted)
+    once = read.where(maybe).join(wanted, "copy").groupBy("fp").agg(F.first("text").alias("text"))
     return map_steps(once, work, "fp long, shingles array<long>")
 
 
@@ -480,9 +481,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one document of each group of near duplicates: that of the smallest doc_id. Rows that repeat a doc_id count as
     one document; rows without a doc_id can't be told apart from others and stay."""
-    gone = near_duplicates(docs, similarity).where(F.col("doc_id") != F.col("component_id")).select("doc_id")
-    told = docs.where(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti").select(*docs.columns)
-    return told.unionByName(docs.where(F.col("doc_id").isNull()))
+    gone = stored(near_duplicates(docs, similarity).where(F.col("doc_id") != F.col("component_id")).select("doc_id"), "gone")
+    told, maybe = with_maybe(docs, "doc_id", gone)
+    likely = F.col("doc_id").isNotNull() & F.col(maybe)
+    rest = told.where(likely).join(gone, "doc_id", "left_anti")
+    return told.where(~likely).select(*docs.columns).unionByName(rest.select(*docs.columns))
 
 
 def digest(docs: DataFrame) -> DataFrame:
