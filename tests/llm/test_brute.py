@@ -382,6 +382,72 @@ def test_crowded_anchors_still_make_one_group(spark, monkeypatch):
     assert got.where("component_id = 0").count() == 600 and counted["pairs"] <= 600 * N.PROJECTIONS < 600 * 599 / 2
 
 
+def _as_sets(texts):
+    return [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for w in (t.lower().split() for t in texts)]
+
+
+def test_similar_texts_are_grouped_to_the_last_pair(spark):
+    """Pairs just at and over 0.8, many of which meet under no anchor, and pairs just below."""
+    from tidemark.llm import simhash as N
+
+    rng, vocabulary, texts = np.random.default_rng(5), [f"w{i}" for i in range(5000)], []
+    for k in range(400):
+        words = rng.choice(vocabulary, int(rng.integers(60, 300))).tolist()
+        other, at = list(words), int(rng.integers(0, len(words) // 2))
+        gap = int(len(words) * rng.uniform(0.085, 0.12)) - 4  # a run of g new words changes g + 4 shingles of either text
+        other[at : at + gap] = [f"x{k}y{i}" for i in range(gap)]
+        texts += [" ".join(words), " ".join(other)]
+    sets = _as_sets(texts)
+    alike = [len(sets[k] & sets[k + 1]) >= 0.8 * len(sets[k] | sets[k + 1]) for k in range(0, len(texts), 2)]
+    got = {r["doc_id"]: r["component_id"] for r in N.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert 150 < sum(alike) < 350
+    assert got == {d: d - 1 if d % 2 and alike[d // 2] else d for d in range(len(texts))}
+
+
+@pytest.mark.parametrize("block", [16, 2048])
+def test_heads_meet_every_similar_pair(spark, monkeypatch, block):
+    """Without any anchor: all pairs of different roots, frequent shingles in blocks, and no pairs within a root."""
+    from tidemark.llm import simhash as N
+
+    monkeypatch.setattr(N, "BLOCK", block)
+    rng, line = np.random.default_rng(8), [f"line{i}" for i in range(40)]
+    texts = []
+    for k in range(240):  # all share a line that is nearly the whole of some
+        words = line + [f"a{k}b{i}" for i in range(int(rng.choice([0, 1, 2, 3, 6, 30])))]
+        texts.append(" ".join(words))
+    texts = sorted(set(texts))
+    sets = _as_sets(texts)
+    hashes, of = N.shingle_sets(pa.array(texts))
+    u, n = np.unique(hashes, return_counts=True)
+    for frequent in ((u[:0], n[:0]), (u[n > 4], 1 + np.argsort(np.argsort(n[n > 4], kind="stable")))):
+        heads = N._heads(hashes, of, len(texts), 0.8, frequent).to_pylist()
+        for root in (lambda k: k, lambda k: k % 7):
+            rows = [(k, root(k), len(sets[k]), bytearray(heads[k])) for k in range(len(texts))]
+            found = N._sharing(spark.createDataFrame(rows, "fp long, root long, size long, head binary"), 0.8).collect()
+            pairs = {(r["a"], r["b"]) for r in found}
+            want = {(a, b) for a in range(len(texts)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and root(a) != root(b)}
+            assert len(want) > 500 and want <= pairs and len(pairs) == len(found) and all(root(a) != root(b) for a, b in pairs)
+
+
+def test_parities_rule_out_no_similar_pair():
+    from tidemark.llm import simhash as N
+
+    rng, texts = np.random.default_rng(2), []
+    for k in range(300):
+        words = [f"w{i}" for i in rng.integers(0, 10**6, int(rng.choice([3, 60, 70, 260, 1100])))]
+        other = words[: int(len(words) * rng.uniform(0.7, 1))]
+        texts += [" ".join(words), " ".join(other) or "one"]
+    hashes, of = N.shingle_sets(pa.array(texts))
+    sets = _as_sets(texts)
+    size, parity = pa.array([len(s) for s in sets]), N._parities(hashes, of, len(texts))
+    pick = lambda x, k: x.take(pa.array(range(k, len(texts), 2)))
+    number = pa.array(range(0, len(texts), 2))
+    batch = pa.RecordBatch.from_arrays([number, number, pick(size, 0), pick(size, 1), pick(parity, 0), pick(parity, 1)], names=list("abcdef"))
+    kept = {k for b in N._alike(iter([batch]), 0.8) for k in b.column(0).to_pylist()}
+    alike = {k for k in range(0, len(texts), 2) if len(sets[k] & sets[k + 1]) >= 0.8 * len(sets[k] | sets[k + 1])}
+    assert alike <= kept and len(alike) > 100 and len(kept) < 300
+
+
 def test_marks_hold_back_no_key(spark):
     from tidemark.llm.common import with_maybe
 

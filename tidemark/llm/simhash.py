@@ -9,8 +9,13 @@ anchor within radius plus threshold, 17 of 2**27 at most on each half, and whate
 Groups by similarity (``near_duplicates``): sets of five-word shingles of which 0.8 or more are common differ in some 15 % of
 SimHash bits, far beyond three. There a fingerprint of 640 bits is looked at through PROJECTIONS lots of 35 of its bits. The
 anchors of a lot are the words of the product of five perfect Hamming codes of 7 bits, of which one is within the covering
-radius of any word, so each fingerprint goes to one anchor a lot. Pairs that meet under an anchor, and that a word of
-64 bits doesn't tell apart, are then measured exactly on their shingles.
+radius of any word, so each fingerprint goes to one anchor a lot. Of those that it meets there, the closest before and
+after it are measured exactly on their shingles; in further rounds, the closest that no link connects to it yet and the one
+of most links of those connected to that. This makes one of a group of near copies, however large, by few pairs.
+
+Pairs that this doesn't link are found by an exact way. With the shingles of all sets in one order, the rare ones first, two
+sets of that similarity share a shingle among their heads, of about a fifth of a set. Texts that share one, and that no link
+connects yet, are measured if their sizes and the places of the shared shingle allow the similarity. So no pair is lost.
 """
 
 from __future__ import annotations
@@ -270,20 +275,25 @@ def grouped(marked: DataFrame, link: Callable[[DataFrame], DataFrame]) -> DataFr
 #: Similarity of shingle sets from which texts are near duplicates, and the words of a shingle there.
 SIMILARITY, LONG_SHINGLE = 0.8, 5
 #: Words of 64 bits in a long fingerprint; lots of its bits; blocks of 7 bits in a lot.
-LONG_WORDS, PROJECTIONS, CODE_BLOCKS = 10, 160, 5
+#: The lots, and the rounds over them, only spare measuring pairs of a large group; what they don't link the heads of the sets do.
+LONG_WORDS, PROJECTIONS, CODE_BLOCKS, ROUNDS = 10, 16, 5, 3
 #: Bits of 64 that pairs to be measured differ in at most. At a similarity of 0.8, 9.7 bits differ, 2.9 more or less.
 APART = 19
-#: One in so many fingerprints tells which anchors are crowded.
+#: One in so many fingerprints tells which anchors are crowded, one in so many texts which shingles are frequent.
 ONE_IN = 16
+#: Frequent shingles that are broadcast, at most. They go last in the order; without them heads meet more often, no less.
+FREQUENT = 100_000
+#: Pairs that a task compares in one vectorised step.
+PAIRS = 500_000
 
 
 def _lots() -> np.ndarray:
-    """Places of the bits of each lot, (PROJECTIONS, CODE_BLOCKS, 7); lots of one shuffle share no bit."""
+    """Places of the bits of each lot of each round, (ROUNDS, PROJECTIONS, CODE_BLOCKS, 7); lots of one shuffle share no bit."""
     rng, size, out = np.random.default_rng(SEED), 7 * CODE_BLOCKS, []
-    while len(out) < PROJECTIONS:
+    while len(out) < ROUNDS * PROJECTIONS:
         order = rng.permutation(64 * LONG_WORDS)
         out += [order[k : k + size] for k in range(0, len(order) - size + 1, size)]
-    return np.array(out[:PROJECTIONS]).reshape(PROJECTIONS, CODE_BLOCKS, 7)
+    return np.array(out[: ROUNDS * PROJECTIONS]).reshape(ROUNDS, PROJECTIONS, CODE_BLOCKS, 7)
 
 
 def _nearest_words() -> np.ndarray:
@@ -342,7 +352,53 @@ def long_fingerprints(hashes: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _long_prints(batch: pa.RecordBatch) -> pa.RecordBatch:
+def _frequent(read: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of shingles that many texts share, sorted, and the rank of each from 1 on, the least frequent first."""
+    some = read.where(F.pmod("copy", F.lit(ONE_IN)) == 0)
+    some = map_steps(some, lambda b: batch_of(shingle=pa.array(shingle_sets(texts_of(b))[0].view(np.int64))), "shingle long")
+    counts = cut(some.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 2").withColumn("level", F.floor(F.log2("n"))))
+    room, least = FREQUENT, 64
+    for level, n in sorted(counts.groupBy("level").count().collect(), reverse=True):
+        room -= n
+        if room < 0:
+            break
+        least = level
+    rows = counts.where(F.col("level") >= least).orderBy("n", "shingle").select("shingle").toPandas()["shingle"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(rows)
+    return rows[order], order + 1
+
+
+def _binaries(data: np.ndarray, length: np.ndarray) -> pa.Array:
+    """Bytes cut into values of these lengths."""
+    edges = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(edges.tobytes()), pa.py_buffer(data.tobytes())])
+
+
+def _heads(hashes: np.ndarray, of: np.ndarray, n: int, similarity: float, frequent: tuple[np.ndarray, np.ndarray]) -> pa.Array:
+    """The shingles of each text, the rare ones first, up to where a set that shares none of them can't have the similarity."""
+    rank = np.zeros(len(hashes), np.int64)
+    if len(frequent[0]):
+        at = np.minimum(np.searchsorted(frequent[0], hashes), len(frequent[0]) - 1)
+        rank = np.where(frequent[0][at] == hashes, frequent[1][at], 0)
+    order = np.argsort(of * (len(frequent[0]) + 1) + rank, kind="stable")
+    size = np.bincount(of, minlength=n)
+    length = np.where(size > 0, size - np.ceil(similarity * size - 1e-6).astype(np.int64) + 1, 0)
+    length = np.minimum(length, size)
+    place = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+    return _binaries(hashes[order][place < length[of]].astype("<u8"), 8 * length)
+
+
+def _parities(hashes: np.ndarray, of: np.ndarray, n: int) -> pa.Array:
+    """For each text, bit by bit, whether an odd number of its shingles fall on it: as many bits as it has shingles or more, a
+    power of two. Sets differ in no fewer shingles than their parities in bits."""
+    size = np.bincount(of, minlength=n)
+    bits = np.where(size > 0, 1 << np.ceil(np.log2(np.maximum(size, 64))).astype(np.int64), 0)
+    spot = np.repeat(np.cumsum(bits) - bits, size) + (mix(hashes) & (bits[of] - 1).astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(spot, minlength=bits.sum()) & 1).astype(np.uint8)
+    return _binaries(np.packbits(odd, bitorder="little"), bits // 8)
+
+
+def _long_prints(batch: pa.RecordBatch, similarity: float, frequent: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
     texts = texts_of(batch)
     hashes, of = shingle_sets(texts)
     bits = np.packbits(long_fingerprints(hashes, of, len(texts)), axis=1, bitorder="little")
@@ -353,43 +409,51 @@ def _long_prints(batch: pa.RecordBatch) -> pa.RecordBatch:
     full = np.flatnonzero(size)
     if len(full):
         alike[full] = np.add.reduceat(mix(hashes), edges[full])  # equal sets have equal sums
-    return batch_of(doc_id=ids_of(batch), copy=texts_of(batch, "copy"), fp=pa.array((alike ^ mix(size.astype(np.uint64))).view(np.int64)), size=pa.array(size), bits=raw)
+    fp = pa.array((alike ^ mix(size.astype(np.uint64))).view(np.int64))
+    head, parity = _heads(hashes, of, len(texts), similarity, frequent), _parities(hashes, of, len(texts))
+    return batch_of(doc_id=ids_of(batch), copy=texts_of(batch, "copy"), fp=fp, size=pa.array(size), bits=raw, head=head, parity=parity)
 
 
-def _place(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Every fingerprint under its anchor of each lot, with the word of 64 bits that comparisons begin with."""
+def _place(batch: pa.RecordBatch, turn: int) -> pa.RecordBatch:
+    """Every fingerprint under its anchor of each lot of a round, with the word of 64 bits that comparisons there go by."""
     n = batch.num_rows
     raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(n, 8 * LONG_WORDS)
     bits, near, power = np.unpackbits(raw, axis=1, bitorder="little").astype(np.int64), _nearest_words(), 1 << np.arange(7)
     anchor = np.empty((PROJECTIONS, n), np.int64)
-    for k, lot in enumerate(_lots()):
+    for k, lot in enumerate(_lots()[turn]):
         anchor[k] = k
         for block in lot:
             anchor[k] = anchor[k] * 16 + near[bits[:, block] @ power]
-    fp = np.tile(batch.column(0).to_numpy(), PROJECTIONS)
-    word = np.tile(np.ascontiguousarray(raw[:, :8]).view("<u8").ravel().view(np.int64), PROJECTIONS)
-    return batch_of(anchor=pa.array(anchor.ravel()), fp=pa.array(fp), word=pa.array(word))
+    fp, root = (np.tile(batch.column(k).to_numpy(), PROJECTIONS) for k in (0, 2))
+    word = np.tile(np.ascontiguousarray(raw[:, 8 * turn : 8 * turn + 8]).view("<u8").ravel().view(np.int64), PROJECTIONS)
+    return batch_of(anchor=pa.array(anchor.ravel()), fp=pa.array(fp), root=pa.array(root), word=pa.array(word))
 
 
-def _closest_before(word: np.ndarray, apart: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each row after the first the one before it whose word differs least, if in no more than ``apart`` bits."""
-    child, parent = [], []
+def _closest_before(word: np.ndarray, root: np.ndarray, apart: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row after the first the one of another root before it whose word differs least, if in no more than ``apart``
+    bits, and in how many."""
+    child, parent, least = [], [], []
     for k in range(1, len(word)):
-        differ = np.bitwise_count(word[:k] ^ word[k])
+        differ = np.where(root[:k] == root[k], 255, np.bitwise_count(word[:k] ^ word[k]))
         at = int(differ.argmin())
         if differ[at] <= apart:
             child.append(k)
             parent.append(at)
-    return np.array(child, np.int64), np.array(parent, np.int64)
+            least.append(differ[at])
+    return np.array(child, np.int64), np.array(parent, np.int64), np.array(least, np.int64)
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs under an anchor to be measured, of rows sorted by anchor and block: each fingerprint with the closest before it
-    in its block, so there are fewer pairs than rows whatever the size of a group. What is before differs with the lot."""
+    """Pairs under an anchor, of rows sorted by anchor and block: each fingerprint with the closest of another root before it
+    in its block, that one's root, and how many bits differ, so there are fewer pairs than rows whatever the size of a group.
+    What is before differs with the lot."""
+
+    def out(of, other, root, differ):
+        return batch_of(of=pa.array(of), other=pa.array(other), root=pa.array(root), differ=pa.array(differ.astype(np.int64)))
 
-    def settle(key, fp, word):
+    def settle(key, fp, root, word):
         order = np.lexsort((np.where((key[:, 0] >> (4 * CODE_BLOCKS)) & 1, ~fp, fp), key[:, 1], key[:, 0]))
-        key, fp, word = key[order], fp[order], word[order]
+        key, fp, root, word = key[order], fp[order], root[order], word[order]
         start = np.concatenate([[0], np.flatnonzero(np.any(key[1:] != key[:-1], axis=1)) + 1])
         size = np.diff(np.append(start, len(key)))
         few = np.flatnonzero((size > 1) & (size <= SMALL))
@@ -399,40 +463,59 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             before = x - start[bucket]
             b = np.repeat(x, before)
             a = np.repeat(start[bucket], before) + np.arange(len(b)) - np.repeat(np.cumsum(before) - before, before)
-            differ = np.bitwise_count(word[a] ^ word[b])
+            differ = np.where(root[a] == root[b], 255, np.bitwise_count(word[a] ^ word[b]))
             ranked = np.lexsort((differ, b))
             first = ranked[np.unique(b[ranked], return_index=True)[1]]
             first = first[differ[first] <= APART]
-            yield fp[a[first]], fp[b[first]]
+            yield out(fp[b[first]], fp[a[first]], root[a[first]], differ[first])
         for k in np.flatnonzero(size > SMALL):
             mine = slice(start[k], start[k] + size[k])
-            child, parent = _closest_before(word[mine], APART)
-            yield fp[mine][child], fp[mine][parent]
+            child, parent, differ = _closest_before(word[mine], root[mine], APART)
+            yield out(fp[mine][child], fp[mine][parent], root[mine][parent], differ)
 
     held: list[tuple] = []
     for batch in batches:
         if not batch.num_rows:
             continue
         key = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1)
-        rows = key, batch.column(2).to_numpy(), batch.column(3).to_numpy().view(np.uint64)
+        rows = key, batch.column(2).to_numpy(), batch.column(3).to_numpy(), batch.column(4).to_numpy().view(np.uint64)
         if held:
             rows = tuple(np.concatenate(x) for x in zip(*held, rows, strict=True))
         changes = np.flatnonzero(np.any(rows[0][1:] != rows[0][:-1], axis=1))
         last = int(changes[-1]) + 1 if len(changes) else 0
         held = [tuple(x[last:] for x in rows)]
         if last:
-            for a, b in settle(*(x[:last] for x in rows)):
-                yield batch_of(a=pa.array(np.maximum(a, b)), b=pa.array(np.minimum(a, b)))
+            yield from settle(*(x[:last] for x in rows))
     if held:
-        for a, b in settle(*held[0]):
-            yield batch_of(a=pa.array(np.maximum(a, b)), b=pa.array(np.minimum(a, b)))
+        yield from settle(*held[0])
 
 
 def _similar_links(docs: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
-    """Rows (a, b): values of fp, each a set of shingles, whose sets have that similarity, of those that meet."""
-    spark = docs.sparkSession
-    once = cut(prints.where("size > 0").groupBy("fp").agg(F.first("bits").alias("bits"), F.min("copy").alias("copy")))
-    place = lambda rows: map_steps(rows.select("fp", "bits"), _place, "anchor long, fp long, word long", text="bits", size=STEP_BYTES // 4)
+    """Rows (a, b), values of fp, each a set of shingles, that connect exactly what sets of that similarity connect."""
+    first = [F.first(c).alias(c) for c in ("size", "bits", "head", "parity")]
+    once = cut(prints.where("size > 0").groupBy("fp").agg(*first, F.min("copy").alias("copy")))
+    rooted, links = once.withColumn("root", F.col("fp")), None
+    for turn in range(ROUNDS):
+        found = cut(_measured(docs, once, _closest(rooted, turn), similarity))
+        links = found if links is None else links.unionByName(found)
+        rooted = once.join(_hubs(links), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rest = _measured(docs, once, stored(_sharing(rooted, similarity), "rest"), similarity)
+    return links.unionByName(rest)
+
+
+def _hubs(links: DataFrame) -> DataFrame:
+    """Rows (fp, root) of all that ``links`` (a, b) connect; the root is the one of most links in its component."""
+    many = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+    roots = cut(connected_components(links).join(many, "node"))
+    hubs = roots.groupBy("root").agg(F.count("*").alias("n"), F.max_by("node", F.struct("links", "node")).alias("hub"))
+    return cut(join_hubs(roots, cut(hubs), "root", roots.count()).select(F.col("node").alias("fp"), F.col("hub").alias("root")))
+
+
+def _closest(once: DataFrame, turn: int) -> DataFrame:
+    """Rows (a, b): each fingerprint with the closest of a lesser and the closest of a greater fp, of other roots, that it
+    meets under an anchor, and with the roots of these."""
+    spark = once.sparkSession
+    place = lambda rows: map_steps(rows.select("fp", "bits", "root"), lambda b: _place(b, turn), "anchor long, fp long, root long, word long", text="bits", size=STEP_BYTES // 4)
     placed = place(once)
     # Crowded anchors are dealt into blocks; the dealing differs from lot to lot, so a large group's blocks are linked by other lots.
     some = place(once.where(F.pmod(F.xxhash64("fp", F.lit(SEED)), F.lit(ONE_IN)) == 0)).groupBy("anchor").agg(F.count("*").alias("n"))
@@ -440,16 +523,143 @@ def _similar_links(docs: DataFrame, prints: DataFrame, similarity: float) -> Dat
     bar = max(BLOCK // ONE_IN, (some.agg(F.sum("n")).first()[0] or 0) // HUBS)
     crowded = some.where(F.col("n") > bar).select("anchor", F.ceil(F.col("n") * ONE_IN / BLOCK).cast("int").alias("blocks"))
     dealt = placed.join(F.broadcast(crowded), "anchor", "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("fp", "anchor"), F.col("blocks")), F.lit(0)).cast("int"))
-    dealt = dealt.select("anchor", "block", "fp", "word").repartition(tasks_for(spark, placed), "anchor", "block").sortWithinPartitions("anchor", "block")
-    pairs = stored(dealt.mapInArrow(_meet, "a long, b long").distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
+    dealt = dealt.select("anchor", "block", "fp", "root", "word").repartition(tasks_for(spark, placed), "anchor", "block").sortWithinPartitions("anchor", "block")
+    met = dealt.mapInArrow(_meet, "of long, other long, root long, differ long")
+    best = met.groupBy("of", F.expr("other < of").alias("before")).agg(F.min(F.struct("differ", "other", "root")).alias("best"))
+    best = best.select("of", F.explode(F.array("best.other", "best.root")).alias("other"))
+    return stored(best.select(F.greatest("of", "other").alias("a"), F.least("of", "other").alias("b")).distinct(), "pairs")
+
+
+def _measured(docs: DataFrame, once: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """Those of the stored ``pairs`` (a, b) whose sets have the similarity. Their parities rule out most others beforehand."""
+    both = pairs
+    for n in ("a", "b"):
+        both = both.join(once.select(F.col("fp").alias(n), F.col("size").alias(f"{n}_size"), F.col("parity").alias(f"{n}_parity")), n)
+    both = both.select("a", "b", "a_size", "b_size", "a_parity", "b_parity")
+    likely = stored(both.mapInArrow(lambda b: _alike(b, similarity), "a long, b long"), "likely")
+    wanted = likely.select(F.col("a").alias("fp")).union(likely.select(F.col("b").alias("fp"))).distinct()
     sets = stored(_sets_of(docs, stored(wanted.join(once.select("fp", "copy"), "fp"), "wanted")), "shingles")
     side = lambda n: sets.select(F.col("fp").alias(n), F.col("shingles").alias(f"{n}_set"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = likely.join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("a_set", "b_set"))
     return both.where(common >= similarity * (F.size("a_set") + F.size("b_set") - common)).select("a", "b")
 
 
+def _alike(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Pairs whose parities differ in no more bits than sets of the similarity differ in shingles."""
+    for batch in batches:
+        most = (1 - similarity) / (1 + similarity) * (batch.column(2).to_numpy() + batch.column(3).to_numpy()) + 1e-6
+        keep = np.zeros(batch.num_rows, bool)
+        for k, (a, b) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
+            fewer = min(len(a), len(b))
+            a, b = (np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, fewer)) for x in (a, b))
+            keep[k] = np.bitwise_count(a ^ b).sum(dtype=np.int64) <= most[k]
+        yield batch.select([0, 1]).filter(pa.array(keep))
+
+
+def _by_shingle(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """A row for each shingle of a head, with its place there."""
+    length = np.array([len(x) // 8 for x in texts_of(batch, "head").to_pylist()], np.int64)
+    shingle = np.frombuffer(b"".join(texts_of(batch, "head").to_pylist()), "<i8")
+    fp, root, size = (np.repeat(ids_of(batch, n).to_numpy(), length) for n in ("fp", "root", "size"))
+    at = np.arange(len(shingle)) - np.repeat(np.cumsum(length) - length, length)
+    return batch_of(shingle=pa.array(shingle), fp=pa.array(fp), root=pa.array(root), size=pa.array(size), at=pa.array(at))
+
+
+def _sharers(rows: tuple[np.ndarray, ...], similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows (shingle, fp, root, size, at) of one shingle that have different roots and may have the similarity: each
+    with enough shingles left from its place on."""
+    rows = tuple(x[np.lexsort((rows[3], rows[0]))] for x in rows)
+    start = np.concatenate([[0], np.flatnonzero(np.diff(rows[0])) + 1])
+    mixed = np.minimum.reduceat(rows[2], start) != np.maximum.reduceat(rows[2], start)
+    group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(rows[0]))))
+    inside = mixed[group]
+    group, (_, fp, root, size, at) = group[inside], (x[inside] for x in rows)
+    # Of the rows before, in order of size, those from the least size on that allows the similarity.
+    low = np.searchsorted((group << 32) | size, (group << 32) | np.ceil(similarity * size - 1e-6).astype(np.int64))
+    n = np.arange(len(fp)) - low
+    total = np.cumsum(n)
+    edge = 0
+    while edge < len(fp):
+        end = max(edge + 1, int(np.searchsorted(total, (total[edge - 1] if edge else 0) + PAIRS, "right")))
+        many = n[edge:end]
+        x = np.repeat(np.arange(edge, end), many)
+        y = np.repeat(low[edge:end], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        common = similarity / (1 + similarity) * (size[x] + size[y]) - 1e-6
+        found = (root[x] != root[y]) & (size[x] - at[x] >= common) & (size[y] - at[y] >= common)
+        a, b = fp[x[found]], fp[y[found]]
+        yield np.maximum(a, b), np.minimum(a, b)
+        edge = end
+
+
+def _share(batches: Iterator[pa.RecordBatch], similarity: float, block: int) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by shingle. Rows of shingles with over ``block`` rows pass on, to be compared in blocks."""
+    held, passing = None, None
+
+    def on(shingle, fp, root, size, at):
+        return batch_of(a=pa.array(fp), b=pa.array(root), shingle=pa.array(shingle), size=pa.array(size), at=pa.array(at))
+
+    def pairs(rows):
+        for a, b in _sharers(rows, similarity) if len(rows[0]) else []:
+            blank = pa.nulls(len(a), pa.int64())
+            yield batch_of(a=pa.array(a), b=pa.array(b), shingle=blank, size=blank, at=blank)
+
+    for batch in batches:
+        rows = tuple(c.to_numpy() for c in batch.columns)
+        if passing is not None:
+            n = int(np.searchsorted(rows[0], passing, "right"))
+            if n:
+                yield on(*(x[:n] for x in rows))
+            rows = tuple(x[n:] for x in rows)
+        if not len(rows[0]):
+            continue
+        passing = None
+        if held is not None:
+            rows = tuple(np.concatenate(x) for x in zip(held, rows, strict=True))
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(rows[0])) + 1, [len(rows[0])]])
+        large = np.diff(edges) > block
+        passed = np.repeat(large, np.diff(edges))
+        if passed.any():
+            yield on(*(x[passed] for x in rows))
+        whole, held = ~passed, None
+        if large[-1]:
+            passing = rows[0][-1]
+        else:
+            held = tuple(x[edges[-2] :] for x in rows)
+            whole[edges[-2] :] = False
+        yield from pairs(tuple(x[whole] for x in rows))
+    if held is not None:
+        yield from pairs(held)
+
+
+def _sharing(rooted: DataFrame, similarity: float) -> DataFrame:
+    """Rows (a, b), values of fp: all pairs of different roots that can have the similarity, of rows (fp, size, head, root)."""
+    spark, block = rooted.sparkSession, BLOCK
+    rows = map_steps(rooted.select("fp", "root", "size", "head"), _by_shingle, "shingle long, fp long, root long, size long, at long", text="head", size=STEP_BYTES // 4)
+    dealt = rows.repartition(tasks_for(spark, rows), "shingle").sortWithinPartitions("shingle")
+    found = stored(dealt.mapInArrow(lambda b: _share(b, similarity, block), "a long, b long, shingle long, size long, at long"), "sharing")
+    large = found.where(F.col("shingle").isNotNull()).select("shingle", F.col("a").alias("fp"), F.col("b").alias("root"), "size", "at")
+    return found.where(F.col("shingle").isNull()).select("a", "b").unionByName(_large_sharing(large, similarity)).distinct()
+
+
+def _large_sharing(rows: DataFrame, similarity: float) -> DataFrame:
+    """Compares the rows of frequent shingles in pairs of blocks; those of one root only need no comparison."""
+    blocks = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("root").alias("least"), F.max("root").alias("most"))
+    blocks = cut(blocks.where("least <> most").drop("least", "most"))
+    mine = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = join_hubs(rows, blocks, "shingle", blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], BLOCK).withColumn("mine", mine).withColumn("other", other)
+    dealt = dealt.select("shingle", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "fp", "root", "size", "at")
+
+    def compare(pdf):
+        import pandas as pd
+
+        found = _sharers(tuple(pdf[c].to_numpy() for c in ("shingle", "fp", "root", "size", "at")), similarity)
+        return pd.concat([pd.DataFrame({"a": a, "b": b}) for a, b in found] or [pd.DataFrame({"a": [], "b": []}, dtype="int64")])
+
+    return dealt.groupBy("shingle", "i", "j").applyInPandas(compare, "a long, b long")
+
+
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Rows (fp, shingles) of the wanted (fp, copy), each once; of equal texts one is read."""
 
@@ -468,13 +678,16 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     """The operator, by similarity: rows (doc_id, fp, component_id), one for each row of ``docs``; ``fp`` is a hash of the
     text's set of five-word shingles, A-Z in lower case.
 
-    Texts of the same set are linked, and so are those whose sets have a Jaccard similarity of ``similarity`` or more, as
-    far as they meet under an anchor; the README gives the measured share. A component is whatever chains of links reach;
-    its id is the smallest doc_id in it. Texts without a word, null ones too, have the empty set and are one group. A null
+    Texts of the same set are linked, and so are those whose sets have a Jaccard similarity of ``similarity`` (over 0) or
+    more, all of them. A component is whatever chains of links reach; its id is the smallest doc_id in it. Texts without a word, null ones too, have the empty set and are one group. A null
     doc_id never names a component. Repeated rows repeat. An empty table gives no rows; further columns are ignored.
     """
+    if not 0 < similarity <= 1:
+        raise ValueError("sets of no similarity share no shingle to meet by")
     read = docs.select("doc_id", "text", F.xxhash64("text").alias("copy"))
-    prints = stored(map_steps(read, _long_prints, "doc_id long, copy long, fp long, size long, bits binary"), "prints")
+    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(read))
+    columns = "doc_id long, copy long, fp long, size long, bits binary, head binary, parity binary"
+    prints = stored(map_steps(read, lambda b: _long_prints(b, similarity, frequent.value), columns), "prints")
     return grouped(prints.select("doc_id", "fp"), lambda _: _similar_links(docs, prints, similarity))
 
 
