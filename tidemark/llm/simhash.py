@@ -10,7 +10,7 @@ Groups by similarity (``near_duplicates``): sets of five-word shingles of which
 SimHash bits, far beyond three. There a fingerprint of 640 bits is looked at through PROJECTIONS lots of 35 of its bits. The
 anchors of a lot are the words of the product of five perfect Hamming codes of 7 bits, of which one is within the covering
 radius of any word, so each fingerprint goes to one anchor a lot. Of those that it meets there, the closest before and
-after it are measured exactly on their shingles; in further rounds, the closest that no link connects to it yet and the one
+after it, and the most central under a full anchor, are measured exactly on their shingles; in further rounds, the closest that no link connects to it yet and the one
 of most links of those connected to that. This makes one of a group of near copies, however large, by few pairs.
 
 Pairs that this doesn't link are found by an exact way. With the shingles of all sets in one order, the rare ones first, two
@@ -446,7 +446,8 @@ def _closest_before(word: np.ndarray, root: np.ndarray, apart: int) -> tuple[np.
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs under an anchor, of rows sorted by anchor and block: each fingerprint with the closest of another root before it
     in its block, that one's root, and how many bits differ, so there are fewer pairs than rows whatever the size of a group.
-    What is before differs with the lot."""
+    What is before differs with the lot. Of many rows, each goes with the most central one too; ``differ`` is then less the
+    more rows there are, and negative."""
 
     def out(of, other, root, differ):
         return batch_of(of=pa.array(of), other=pa.array(other), root=pa.array(root), differ=pa.array(differ.astype(np.int64)))
@@ -472,6 +473,11 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             mine = slice(start[k], start[k] + size[k])
             child, parent, differ = _closest_before(word[mine], root[mine], APART)
             yield out(fp[mine][child], fp[mine][parent], root[mine][parent], differ)
+            bits = np.unpackbits(word[mine].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1)
+            usual = 2 * bits.sum(axis=0, dtype=np.int64) > len(bits)
+            central = start[k] + int((bits != usual).sum(axis=1).argmin())
+            others = start[k] + np.flatnonzero(root[mine] != root[central])
+            yield out(fp[others], *(np.full(len(others), x[central]) for x in (fp, root)), np.full(len(others), -size[k]))
 
     held: list[tuple] = []
     for batch in batches:
@@ -513,7 +519,7 @@ def _hubs(links: DataFrame) -> DataFrame:
 
 def _closest(once: DataFrame, turn: int) -> DataFrame:
     """Rows (a, b): each fingerprint with the closest of a lesser and the closest of a greater fp, of other roots, that it
-    meets under an anchor, and with the roots of these."""
+    meets under an anchor, with the most central one of its fullest anchor, and with the roots of these."""
     spark = once.sparkSession
     place = lambda rows: map_steps(rows.select("fp", "bits", "root"), lambda b: _place(b, turn), "anchor long, fp long, root long, word long", text="bits", size=STEP_BYTES // 4)
     placed = place(once)
@@ -525,7 +531,7 @@ def _closest(once: DataFrame, turn: int) -> DataFrame:
     dealt = placed.join(F.broadcast(crowded), "anchor", "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("fp", "anchor"), F.col("blocks")), F.lit(0)).cast("int"))
     dealt = dealt.select("anchor", "block", "fp", "root", "word").repartition(tasks_for(spark, placed), "anchor", "block").sortWithinPartitions("anchor", "block")
     met = dealt.mapInArrow(_meet, "of long, other long, root long, differ long")
-    best = met.groupBy("of", F.expr("other < of").alias("before")).agg(F.min(F.struct("differ", "other", "root")).alias("best"))
+    best = met.groupBy("of", F.expr("if(differ < 0, 2, int(other < of))").alias("kind")).agg(F.min(F.struct("differ", "other", "root")).alias("best"))
     best = best.select("of", F.explode(F.array("best.other", "best.root")).alias("other"))
     return stored(best.select(F.greatest("of", "other").alias("a"), F.least("of", "other").alias("b")).distinct(), "pairs")
 
