@@ -240,7 +240,7 @@ def _find_round(docs: DataFrame, shared: Broadcast, window: int, steps: int, row
 
 def _steps(n: int) -> int:
     """Bytes of text in a step: more where several automata take turns on it."""
-    return STEP_BYTES if n < 2 else 4 * STEP_BYTES
+    return STEP_BYTES if n < 2 else 16 * STEP_BYTES
 
 
 def _numbered_finds(docs: DataFrame, rounds: Iterator[list[bytes]], window: int, row: str) -> DataFrame:

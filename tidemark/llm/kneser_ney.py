@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import batch_of, cut, in_steps, stored, texts_of
+from tidemark.llm.common import STEP_BYTES, batch_of, cut, in_steps, stored, texts_of
 from tidemark.llm.textblock import TextBlock, group_ids, mix
 
 ORDER = 5
@@ -86,7 +86,7 @@ def count_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
             cut_up = [text[i : i + order] for i in range(0, len(text), order)]
             return batch_of(lang=pa.array(lang, pa.string()), gram=pa.array(cut_up, pa.string()), c=pa.array(n))
 
-        for step in in_steps(batches):
+        for step in in_steps(batches, size=4 * STEP_BYTES):
             langs = texts_of(step, "lang")
             padded, place, doc = coded(texts_of(step), order)
             if not len(place):

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored
+from tidemark.llm.common import give_back, stored
 
 log = logging.getLogger("tidemark.llm")
 
@@ -81,9 +81,12 @@ def fit_in_task(sample: DataFrame, fit: Callable[[pa.Table], dict[str, np.ndarra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = list(batches)
         if got:
-            out = io.BytesIO()
-            np.savez(out, **fit(pa.Table.from_batches(got).sort_by("doc_id")))
+            out, ordered = io.BytesIO(), pa.Table.from_batches(got).sort_by("doc_id")
+            got.clear()
+            np.savez(out, **fit(ordered))
+            del ordered
             yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], names=["fitted"])
+            give_back()
 
     rows = sample.repartition(1).mapInArrow(run, "fitted binary").collect()
     if not rows:  # no labelled document

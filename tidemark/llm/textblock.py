@@ -12,6 +12,8 @@ _Q = U64(pow(int(_P), -1, 1 << 64))
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
 _POWERS: dict[str, np.ndarray] = {}
+#: Powers that a process keeps, 8 MB of each kind at most; a longer text's are made for it alone.
+KEPT_POWERS = 1 << 20
 
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
@@ -26,10 +28,13 @@ ALNUM[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     have = _POWERS.get("p")
     if have is None or len(have) < n:
-        size = 1 << max(12, int(n - 1).bit_length())
+        size = 1 << max(12, int(n - 1).bit_length()) if n <= KEPT_POWERS else n
         p, q = np.full(size, _P, U64), np.full(size, _Q, U64)
         p[0] = q[0] = 1
-        _POWERS["p"], _POWERS["q"] = np.multiply.accumulate(p), np.multiply.accumulate(q)
+        p, q = np.multiply.accumulate(p, out=p), np.multiply.accumulate(q, out=q)
+        if n > KEPT_POWERS:
+            return p, q
+        _POWERS["p"], _POWERS["q"] = p, q
     return _POWERS["p"], _POWERS["q"]
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import batch_of, ids_of, map_steps, narrow, texts_of
+from tidemark.llm.common import batch_of, give_back, ids_of, map_steps, narrow, texts_of
 from tidemark.llm.sampling import fit_in_task, held_out, labelled_sample
 from tidemark.llm.textblock import ALNUM, TextBlock, group_ids
 
@@ -92,6 +92,8 @@ def read_sample(texts: list[str | None], chunk_bytes: int = 1_000_000) -> tuple[
         parts.append(words)
         seen, start = seen + len(distinct), end
     numbers, distinct = group_ids(np.concatenate(hashes))
+    numbers = numbers.astype(np.int32)
+    hashes.clear()
     first = np.zeros(len(distinct), np.int64)
     first[numbers[::-1]] = np.arange(len(numbers))[::-1]
     size = np.concatenate([np.diff(w.first) for w in parts])
@@ -99,7 +101,8 @@ def read_sample(texts: list[str | None], chunk_bytes: int = 1_000_000) -> tuple[
     take = size[first]
     at = np.repeat(begin[first] - np.cumsum(take) + take, take) + np.arange(take.sum())
     words = Words(np.concatenate([w.row for w in parts])[first], np.concatenate([w.grams for w in parts])[at], np.append(np.cumsum(take) - take, take.sum()))
-    return np.concatenate(docs), numbers[np.concatenate(codes)].astype(np.int32), words
+    parts.clear()
+    return np.concatenate(docs), numbers[np.concatenate(codes)], words
 
 
 def cut_windows(n_words: np.ndarray, window: int = WINDOW, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -214,13 +217,17 @@ class BiGru:
         """Logits of windows of words; ``codes``: the words by number."""
         x, _ = self.inputs(words)
         x = np.concatenate([x, np.zeros((1, x.shape[1]), np.float32)])
-        out = np.zeros(len(begin), np.float32)
+        out, number = np.zeros(len(begin), np.float32), np.zeros(len(x), np.int64)
         full = size == WINDOW
         for some, whole in ((np.flatnonzero(full), True), (np.flatnonzero(~full), False)):
             for k in range(0, len(some), step):
                 at = some[k : k + step]
                 index, mask = window_index(codes, begin[at], size[at], len(x) - 1)
-                out[at] = self.forward(x, index, None if whole else mask)[0]
+                met = np.zeros(len(x), bool)
+                met[index] = True  # of a sample's many distinct words few are in these windows
+                rows = np.flatnonzero(met)
+                number[rows] = np.arange(len(rows))
+                out[at] = self.forward(x[rows], number[index], None if whole else mask)[0]
         return out
 
 
@@ -310,6 +317,7 @@ def train(texts: list[str | None], y: np.ndarray, rounds: int = ROUNDS, seed: in
     if not len(codes):
         net.w["scale"][0], net.w["shift"][0] = 0, np.log((y.sum() + 0.5) / (len(y) - y.sum() + 1.5))
         return net
+    give_back()  # reading takes more than the network's passes
     doc, begin, size = cut_windows(np.bincount(word_doc, minlength=len(texts)))
     calibrating = np.zeros(len(texts), bool)
     for k in (0, 1):
