@@ -91,6 +91,7 @@ def read_sample(texts: list[str | None], chunk_bytes: int = 1_000_000) -> tuple[
         hashes.append(distinct)
         parts.append(words)
         seen, start = seen + len(distinct), end
+    give_back()
     numbers, distinct = group_ids(np.concatenate(hashes))
     numbers = numbers.astype(np.int32)
     hashes.clear()
