@@ -57,6 +57,30 @@ def test_components_match_union_find(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_take_few_jobs(spark):
+    """A driver keeps threads, classes and strings of each plan for a while: small graphs may not take a hundred jobs."""
+    rng, sc = np.random.default_rng(4), spark.sparkContext
+    edges = spark.createDataFrame([(int(a), int(b)) for a, b in rng.integers(0, 3000, (2500, 2))] + [(k, 7) for k in range(5000, 5200)], "a long, b long")
+    sc.setJobGroup("components", "")
+    components.connected_components(edges)
+    sc.setJobGroup("others", "")
+    assert len(sc.statusTracker().getJobIdsForGroup("components")) <= 30
+
+
+def test_stars_of_a_partition_match_a_search():
+    rng = np.random.default_rng(6)
+    chain = rng.permutation(5000)
+    for a, b in ((chain[1:], chain[:-1]), rng.integers(-400, 400, (2, 350)), (np.array([3]), np.array([3]))):
+        linked = {int(x): {int(x)} for x in np.concatenate([a, b])}
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            if linked[x] is not linked[y]:
+                linked[x] |= linked[y]
+                for z in linked[y]:
+                    linked[z] = linked[x]
+        child, root = components._stars(a, b)
+        assert dict(zip(child.tolist(), root.tolist(), strict=True)) == {x: min(s) for x, s in linked.items() if x != min(s)}
+
+
 def test_near_duplicates_match_all_pairs(spark, documents):
     from tests.llm.test_text import fingerprint
 
