@@ -1,9 +1,10 @@
 import tracemalloc
+from unittest import mock
 
 import numpy as np
 import pyarrow as pa
 
-from tidemark.llm import decontaminate, textblock, toxicity
+from tidemark.llm import decontaminate, kneser_ney, textblock, toxicity
 from tidemark.llm.common import in_steps
 
 
@@ -28,6 +29,38 @@ def test_a_step_takes_little_beside_its_batch():
     assert _peak_mb(lambda: [toxicity.score_texts(net, s.column(0)) for s in in_steps(iter([batch]))]) < 70
 
 
+def _counted(batch):
+    """What a task that counts n-grams makes of a batch."""
+
+    class Frame:
+        def mapInArrow(self, run, _):
+            self.run = run
+            return self
+
+        def select(self, *_):
+            return self
+
+        groupBy = agg = select
+
+    frame = Frame()
+    with mock.patch.object(kneser_ney, "F"):
+        kneser_ney.count_grams(frame)
+    return frame.run(iter([batch]))
+
+
+def test_counted_n_grams_pass_on_in_pieces():
+    """Of a task's n-grams only a piece at a time becomes a batch of strings; the strings are those of the code points."""
+
+    text = "".join(map(chr, np.random.default_rng(5).integers(0x4E00, 0x9FFF, 250_000)))
+    batch = pa.record_batch({"text": [text, "añ漢\U0001f600b"], "lang": ["zh", None]})
+    found = list(_counted(batch))
+    assert max(b.num_rows for b in found) <= kneser_ney.ROWS
+    padded = kneser_ney.START * 4 + text
+    grams = [g for b in found for g, x in zip(b.column(1).to_pylist(), b.column(0).to_pylist(), strict=True) if x == "zh"]
+    assert set(grams) == {padded[k : k + 5] for k in range(len(text))} and len(grams) == len(set(grams))
+    assert "añ漢\U0001f600b" in [g for b in found for g in b.column(1).to_pylist()]
+
+
 def test_a_long_text_leaves_no_powers_behind():
     text = "word " * 600_000
     hashes = decontaminate.words_of(pa.array([text]))[-1]

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import STEP_BYTES, batch_of, cut, in_steps, stored, texts_of
+from tidemark.llm.common import STEP_BYTES, batch_of, cut, give_back, in_steps, stored, texts_of
 from tidemark.llm.textblock import TextBlock, group_ids, mix
 
 ORDER = 5
@@ -27,6 +27,8 @@ ORDER = 5
 START = "\x02"
 #: Distinct n-grams that a counting task holds before it passes them on to Spark's sums.
 HELD = 2_000_000
+#: n-grams that it passes on at once.
+ROWS = 100_000
 #: Entries of the model that one task holds at once. A larger model is split by language and the two characters before the
 #: predicted one, which decide all its entries of order 3 and up; the few of orders 1 and 2 go to every part.
 PART_ENTRIES = 1_000_000
@@ -61,10 +63,27 @@ def gram_hash(columns: list[np.ndarray], lang: np.ndarray) -> np.ndarray:
 
 
 def _quick(padded: np.ndarray, place: np.ndarray, lang: np.ndarray, order: int) -> np.ndarray:
-    h = lang.copy()
-    for k in range(order - 1, -1, -1):
-        h = (h + padded[place - k]) * _P
-    return mix(h)
+    if 2 * len(place) < len(padded):
+        h = lang.copy()
+        for k in range(order - 1, -1, -1):
+            h = (h + padded[place - k]) * _P
+        return mix(h)
+    # Most places are asked for: all are hashed side by side, which takes no index.
+    points, ends = padded.astype(np.uint64), place - (order - 1)
+    h = np.zeros(len(points) - order + 1, np.uint64)
+    h[ends] = lang
+    for k in range(order):
+        h += points[k : k + len(h)]
+        h *= _P
+    return mix(h[ends])
+
+
+def _strings(points: np.ndarray) -> pa.Array:
+    """A string of each row's code points."""
+    length = (1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)).sum(axis=1)
+    edges = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+    data = points.astype("<u4").tobytes().decode("utf-32-le").encode()
+    return pa.StringArray.from_buffers(len(points), pa.py_buffer(edges.tobytes()), pa.py_buffer(data))
 
 
 def count_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
@@ -81,10 +100,9 @@ def count_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
             at[codes[::-1]] = np.arange(len(codes))[::-1]
             return distinct, lang[at], grams[at], np.bincount(codes, weights=n, minlength=len(distinct)).astype(np.int64)
 
-        def rows(h, lang, grams, n):
-            text = grams.astype("<u4").tobytes().decode("utf-32-le")
-            cut_up = [text[i : i + order] for i in range(0, len(text), order)]
-            return batch_of(lang=pa.array(lang, pa.string()), gram=pa.array(cut_up, pa.string()), c=pa.array(n))
+        def rows(_, lang, grams, n):
+            for k in range(0, len(n), ROWS):
+                yield batch_of(lang=pa.array(lang[k : k + ROWS], pa.string()), gram=_strings(grams[k : k + ROWS]), c=pa.array(n[k : k + ROWS]))
 
         for step in in_steps(batches, size=4 * STEP_BYTES):
             langs = texts_of(step, "lang")
@@ -101,10 +119,13 @@ def count_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
                 held = [merged()]
                 size = len(held[0][0])
                 if 2 * size > HELD:
-                    yield rows(*held[0])
+                    yield from rows(*held[0])
                     held, size = [], 0
         if held:
-            yield rows(*merged())
+            held = [merged()]
+            yield from rows(*held[0])
+        held = step = padded = place = doc = codes = distinct = at = names = None
+        give_back()
 
     return docs.select("text", "lang").mapInArrow(run, "lang string, gram string, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
 
@@ -167,8 +188,8 @@ class HashArrays:
         keys, values = self.tables.get(kind, (np.zeros(0, np.uint64), np.zeros(0, np.float32)))
         if not len(keys):
             return np.full(len(key), missing, np.float64)
-        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-        return np.where(keys[at] == key, values[at], missing)
+        known, at = found_in(keys, key)
+        return np.where(known, values[at], missing)
 
 
 def _points(grams: pa.Array, size: int) -> list[np.ndarray]:
@@ -272,6 +293,8 @@ def shares_of(model: DataFrame, wanted: DataFrame, part_entries: int = PART_ENTR
             padded = np.stack(by_place, axis=1).ravel()
             keys.append(_quick(padded, np.arange(len(lang)) * order + order - 1, lang, order))
             values.append(_shares(arrays, by_place[::-1], lang))
+        del arrays
+        give_back()
         return pa.table({"key": np.concatenate(keys).view(np.int64), "value": np.concatenate(values).astype(np.float32), "c": grams["c"]})
 
     return stored(dealt.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(work, "key long, value float, c long"), "shares")
@@ -289,6 +312,18 @@ def head_of(shares: DataFrame, most: int = HEAD) -> tuple[np.ndarray, np.ndarray
     return key[order], value[order], at == 0
 
 
+def found_in(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each of ``wanted`` is one of the sorted ``keys``, and where. Sought in order, neighbours find the memory that a
+    search reads still at hand; out of order, a search of millions of keys waits for memory at each of its steps."""
+    if not len(keys):
+        return np.zeros(len(wanted), bool), np.zeros(len(wanted), np.int64)
+    order = np.argsort(wanted)
+    at = np.empty(len(wanted), np.int64)
+    at[order] = np.searchsorted(keys, wanted[order])
+    at = np.minimum(at, len(keys) - 1)
+    return keys[at] == wanted, at
+
+
 def look_up(head: tuple[np.ndarray, np.ndarray], padded: np.ndarray, place: np.ndarray, doc: np.ndarray, lang: np.ndarray, n: int, order: int = ORDER) -> tuple[np.ndarray, tuple]:
     """By text, the sum of its characters' log shares as far as the head tells them; and the n-grams that it doesn't hold,
     as (text number, key, times), by text."""
@@ -296,8 +331,7 @@ def look_up(head: tuple[np.ndarray, np.ndarray], padded: np.ndarray, place: np.n
         return np.zeros(n), (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
     keys, values = head
     codes, distinct = group_ids(_quick(padded, place, lang, order))
-    at = np.minimum(np.searchsorted(keys, distinct), max(len(keys) - 1, 0))
-    known = keys[at] == distinct if len(keys) else np.zeros(len(distinct), bool)
+    known, at = found_in(keys, distinct)
     share = np.where(known, values[at], 0.0) if len(keys) else np.zeros(len(distinct))
     total = np.bincount(doc, weights=share[codes], minlength=n)
     beyond = np.flatnonzero(~known[codes])
