@@ -67,6 +67,29 @@ def test_components_take_few_jobs(spark):
     assert len(sc.statusTracker().getJobIdsForGroup("components")) <= 30
 
 
+def test_components_of_few_edges_leave_few_files(spark):
+    """Each task of a shuffle or checkpoint leaves files, so few edges may not take hundreds of them where Spark joins no small partitions."""
+    rng, sc, conf = np.random.default_rng(4), spark.sparkContext, {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    edges = spark.createDataFrame([(int(a), int(b)) for a, b in rng.integers(0, 3000, (2500, 2))], "a long, b long")
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup("few files", "")
+        components.connected_components(edges).count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup("others", "")
+    jobs = [sc.statusTracker().getJobInfo(j) for j in sc.statusTracker().getJobIdsForGroup("few files")]
+    assert sum(sc.statusTracker().getStageInfo(k).numTasks for k in {k for j in jobs for k in j.stageIds}) <= 400
+
+
+def test_components_of_many_edges_match_union_find(spark, monkeypatch):
+    monkeypatch.setattr(components, "HELD", 40)
+    test_components_match_union_find(spark)
+
+
 def test_stars_of_a_partition_match_a_search():
     rng = np.random.default_rng(6)
     chain = rng.permutation(5000)

@@ -1,5 +1,6 @@
 """Connected components: each partition makes its edges stars, and large-star steps, a few shuffles over the edges each, join
-the partitions' stars. Few plans matter: the driver keeps threads, classes and strings of each for a while."""
+the partitions' stars. Few plans matter: the driver keeps threads, classes and strings of each for a while. So do few files:
+each task of a shuffle leaves some, and each of a checkpoint, however few its rows."""
 
 from __future__ import annotations
 
@@ -15,7 +16,7 @@ from tidemark.llm.common import batch_of, cut, give_back
 #: Rows of one key that a shuffle puts into one task as they are. A key with more, and with over a ten-thousandth of all
 #: rows, is a hub: its one row of the other side is broadcast, so there are 10,000 hubs at most.
 FEW, HUBS = 64, 10_000
-#: Edges that a task makes stars of at once.
+#: Edges that a task makes stars of at once; what has fewer for each partition is put into fewer partitions.
 HELD = 250_000
 
 
@@ -28,6 +29,11 @@ def join_hubs(rows: DataFrame, per_key: DataFrame, key: str, total: int, few: in
     return usual.unionByName(rows.join(hubs, key)).drop("n")
 
 
+def gathered(rows: DataFrame) -> DataFrame:
+    """Checkpointed rows of a few numbers, in no more partitions than hold HELD of them each."""
+    return rows.coalesce(max(1, -(-rows.count() // HELD)))
+
+
 def _closest(pairs: DataFrame) -> DataFrame:
     """(a, n, m): the number of a's partners and the least of a and them. Aggregated before the shuffle, so a hub is no hot key here."""
     return cut(pairs.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("m")).select("a", "n", F.least("a", "m").alias("m")))
@@ -90,11 +96,16 @@ def _shape(edges: DataFrame) -> tuple[int, bool]:
 def connected_components(edges: DataFrame) -> DataFrame:
     """Rows (node, root) for every node of ``edges`` (a, b): root is the least node that it reaches.
 
-    Every step is checkpointed in the shared folder; the loop ends when all edges are stars. No edges: no rows. A node is
-    the greater one of a few edges for each partition at most once the partitions have made stars, so no task gets a hub.
+    Every step is checkpointed in the shared folder; the loop ends when all edges are stars, which HELD edges are at once. No
+    edges: no rows. A node is the greater one of a few edges for each partition at most once the partitions have made stars,
+    so no task gets a hub.
     """
-    current = cut(_contracted(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()))
+    current = cut(_contracted(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))))
     while True:
+        total = current.count()
+        current = cut(_contracted(current.coalesce(max(1, -(-total // HELD)))))
+        if total <= HELD:
+            break
         total, done = _shape(current)
         if done:
             break

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import STEP_BYTES, batch_of, cut, ids_of, map_steps, narrow, stored, tasks_for, texts_of, with_maybe
-from tidemark.llm.components import HUBS, connected_components, join_hubs
+from tidemark.llm.components import HUBS, connected_components, gathered, join_hubs
 from tidemark.llm.textblock import NOT_SPACE, U64, TextBlock, mix, windows
 
 SHINGLE, BITS, SEED = 3, 3, 42
@@ -502,7 +502,7 @@ def _similar_links(docs: DataFrame, prints: DataFrame, similarity: float) -> Dat
     once = cut(prints.where("size > 0").groupBy("fp").agg(*first, F.min("copy").alias("copy")))
     rooted, links = once.withColumn("root", F.col("fp")), None
     for turn in range(ROUNDS):
-        found = cut(_measured(docs, once, _closest(rooted, turn), similarity))
+        found = gathered(cut(_measured(docs, once, _closest(rooted, turn), similarity)))
         links = found if links is None else links.unionByName(found)
         rooted = once.join(_hubs(links), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rest = _measured(docs, once, stored(_sharing(rooted, similarity), "rest"), similarity)
@@ -512,7 +512,7 @@ def _similar_links(docs: DataFrame, prints: DataFrame, similarity: float) -> Dat
 def _hubs(links: DataFrame) -> DataFrame:
     """Rows (fp, root) of all that ``links`` (a, b) connect; the root is the one of most links in its component."""
     many = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
-    roots = cut(connected_components(links).join(many, "node"))
+    roots = gathered(cut(connected_components(links).join(many, "node")))
     hubs = roots.groupBy("root").agg(F.count("*").alias("n"), F.max_by("node", F.struct("links", "node")).alias("hub"))
     return cut(join_hubs(roots, cut(hubs), "root", roots.count()).select(F.col("node").alias("fp"), F.col("hub").alias("root")))
 
